@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import heavy_light, suffix_counts, term_weight
+from lexmill.llm import bpe, heavy_light, mixture, suffix_counts, term_weight
 from lexmill.plans.tables import table
 
 QUERIES = {}
@@ -100,3 +100,33 @@ WITH {_P6}
 SELECT nc_id, token FROM j JOIN r USING (nc_id) JOIN t USING (token), w
 WHERE count >= 3 AND count * 25 >= record_total AND records >= 2 AND records * 25 <= all_records
 """
+
+# -- problem 8 ---------------------------------------------------------------
+
+
+@query
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again: the text must come back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("text", F.lit("")).alias("before"))
+    back = bpe.decode(bpe.encode(docs))
+    return back.select("doc_id", (F.col("text") == F.col("before")).alias("same"))
+
+
+ORACLES["p8_roundtrip"] = "SELECT doc_id, true AS same FROM documents"
+
+# -- problem 9 ---------------------------------------------------------------
+
+
+@query
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[0]
+
+
+@query
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[1]
