@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.session import cut
+
 LAMBDA = 8
 BUCKETS = 4096
 COUNTERS = 1 << 16
@@ -113,7 +115,7 @@ def sketch(rows: DataFrame, buckets: int = BUCKETS, counters: int = COUNTERS) ->
     weights below 1 must have been left out.
     """
     placed = rows.select("item", F.col("weight").cast("long").alias("weight"), _slot("item", 1, buckets).alias("bucket"), _slot("item", 2, counters).alias("counter"))
-    parts = placed.mapInArrow(lambda it: _fold_partition(it, buckets, counters), _SCHEMA)
+    parts = cut(placed.mapInArrow(lambda it: _fold_partition(it, buckets, counters), _SCHEMA))  # one sketch per partition, read several times
     by_item = parts.groupBy("part", "slot", "item").agg(F.sum("votes").alias("votes"))
     heavy_all = by_item.filter("part = 'heavy'")
     winner = heavy_all.groupBy("slot").agg(F.max(F.struct("votes", "item")).alias("w")).select("slot", F.col("w.item").alias("item"), F.col("w.votes").alias("votes"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, heavy_light, mixture, suffix_counts, term_weight
+from lexmill.llm import bpe, heavy_light, mixture, stuffing, suffix_counts, term_weight
 from lexmill.plans.tables import table
 
 QUERIES = {}
@@ -130,3 +130,16 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[1]
+
+# -- problem 10 --------------------------------------------------------------
+
+
+@query
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+@query
+def p10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = stuffing.stuffed_pages(table(spark, sf_dir, "documents"))
+    return pages.withColumn("replicated_share", F.round("replicated_share", 6))
