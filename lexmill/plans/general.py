@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.operators.drift import schema_changes
 from lexmill.operators.heavy_tokens import token_leaders
 from lexmill.plans.tables import table
 
@@ -46,5 +47,11 @@ WITH leaders AS ({P4_TOKENS_SQL}), totals AS (SELECT src, sum(rows) AS n FROM le
 SELECT l.src, l.token, l.nc_id FROM leaders l JOIN totals t ON t.src = l.src WHERE l.rows > t.n * 0.01 AND l.nc_id IS NOT NULL
 """
 
-QUERIES = {"p4_found": p4_found, "p4_tokens": p4_tokens}
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = schema_changes(table(spark, sf_dir, "dissertation_files"))
+    return changes.select("feed", "file_no", "change_kind", "field").distinct()
+
+
+QUERIES = {"p7_found": p7_found, "p4_found": p4_found, "p4_tokens": p4_tokens}
 ORACLES = {"p4_found": P4_FOUND_SQL, "p4_tokens": P4_TOKENS_SQL}
