@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, heavy_light, mixture, stuffing, suffix_counts, term_weight
+from lexmill.llm import bpe, heavy_light, markup, mixture, stuffing, suffix_counts, term_weight
 from lexmill.plans.tables import table
 
 QUERIES = {}
@@ -70,6 +70,26 @@ SELECT token, CAST(sum(count) AS BIGINT) AS total FROM once GROUP BY token ORDER
 """
 ORACLES["p3_found"] = f"SELECT token FROM ({ORACLES['p3_counts']})"
 
+# -- problem 5 ---------------------------------------------------------------
+
+_TEXTS = [("texts", "@id", "text"), ("split_a", "id", "nc:text")]
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = []
+    for src, key, text in _TEXTS:
+        found = markup.find_markup(table(spark, sf_dir, src).select(f"`{key}`", f"`{text}`"), text).filter("has_markup")
+        parts.append(found.select(F.lit(src).alias("src"), F.col(f"`{key}`").alias("rec_id")).distinct())
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [markup.clean_texts(table(spark, sf_dir, src), key, text).select(F.lit(src).alias("src"), "*") for src, key, text in _TEXTS]
+    return parts[0].unionByName(parts[1])
+
+
 # -- problem 6 ---------------------------------------------------------------
 
 
