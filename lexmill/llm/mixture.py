@@ -126,16 +126,15 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     order = F.xxhash64(F.lit(seed), F.col("epochs"), F.col("doc_id"))
     placed = sized.join(F.broadcast(plan_df), ["source", "lang"]).withColumn("place", order)
     placed = placed.withColumn("bucket", F.floor(F.col("place") / F.lit(float(2**64 // buckets))).cast("int"))
-    sums = placed.groupBy("source", "lang", "bucket").agg(F.sum("tokens").alias("n"))
+    sums = placed.groupBy("source", "lang", "bucket", "rest").agg(F.sum("tokens").alias("n"))  # at most leaves x buckets rows
     ahead = F.coalesce(F.sum("n").over(W.partitionBy("source", "lang").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("source", "lang", "bucket", ahead.alias("before"), "n")  # leaves x buckets rows
-    placed = placed.join(F.broadcast(sums), ["source", "lang", "bucket"])
-    inside = F.col("before") + F.col("n") <= F.col("rest")
-    outside = F.col("before") >= F.col("rest")
-    whole = placed.filter(inside | outside).withColumn("extra", F.when(inside, 1).otherwise(0))
-    within = W.partitionBy("source", "lang", "bucket").orderBy("place", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    ends = sums.withColumn("before", ahead).filter(F.col("before") + F.col("n") > F.col("rest"))
+    ends = ends.groupBy("source", "lang").agg(F.min(F.struct("bucket", "before")).alias("end")).select("source", "lang", F.col("end.bucket").alias("end"), F.col("end.before").alias("before"))  # a row per leaf
+    placed = placed.join(F.broadcast(ends), ["source", "lang"], "left")
+    whole = placed.filter("end is null or bucket <> end").withColumn("extra", F.when(F.col("end").isNull() | (F.col("bucket") < F.col("end")), 1).otherwise(0))
+    within = W.partitionBy("source", "lang").orderBy("place", "doc_id").rowsBetween(W.unboundedPreceding, 0)
     upto = F.col("before") + F.sum("tokens").over(within) - F.col("tokens") / 2
-    edge = placed.filter(~(inside | outside)).withColumn("extra", F.when(upto <= F.col("rest"), 1).otherwise(0))
+    edge = placed.filter("bucket = end").withColumn("extra", F.when(upto <= F.col("rest"), 1).otherwise(0))
     used = whole.unionByName(edge).select("doc_id", "source", "tokens", (F.col("epochs") + F.col("extra")).cast("int").alias("times")).filter("times > 0")
 
     budgets = {s: 0.0 for s in of}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, heavy_light, markup, mixture, stuffing, suffix_counts, term_weight
+from lexmill.llm import bpe, heavy_light, markup, mixture, names, stuffing, suffix_counts, term_weight
 from lexmill.plans.tables import table
 
 QUERIES = {}
@@ -51,6 +51,26 @@ e AS (SELECT "nc:id" AS r, unnest(list_zip(tokenization[:-2], tokenization[2:]))
 SELECT g[1] AS word0, g[2] AS word1, count(*) AS count, count(DISTINCT r) AS records FROM e WHERE g[1] IS NOT NULL AND g[2] IS NOT NULL GROUP BY ALL
 """
 
+# -- problem 2 ---------------------------------------------------------------
+
+
+def _typed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = table(spark, sf_dir, "metadata").select(F.col("author").alias("name"))
+    for column in ("advisor", "altadvisor"):
+        typed = typed.unionByName(table(spark, sf_dir, "dissertations").select(F.col(column).alias("name")))
+    return typed
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.name_pairs(names.name_entities(_typed_names(spark, sf_dir)))
+
+
+@query
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.entity_classes(names.name_entities(_typed_names(spark, sf_dir)))
+
+
 # -- problem 3 ---------------------------------------------------------------
 
 
