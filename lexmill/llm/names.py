@@ -57,6 +57,8 @@ READ_AS = str.maketrans({"0": "o", "1": "l", "5": "s", "3": "e", "4": "a"})
 PLAIN = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ı": "i"})
 
 _TOKEN = re.compile(r"[^\W_]+")
+#: A particle written together with the surname.
+_GLUED = re.compile(r"\b([Vv]an|[Vv]on|[Dd]e|[Dd]er|[Dd]el)(?=[A-Z][a-zà-ÿ])")
 
 
 def plain(text: str) -> str:
@@ -110,7 +112,7 @@ def parse_name(name: str) -> dict:
     is null and ``first`` and ``last`` are its two ends.
     """
     out = dict.fromkeys(["key", "rest", "given", "middle", "generation", "first", "last", "given_if_first", "middle_if_first", "given_if_last", "middle_if_last"])
-    text = plain(name).replace("&", " and ")
+    text = plain(_GLUED.sub(r"\1 ", name)).replace("&", " and ")
     words = _words(text)
     kinds = [body_word(w) for w in words]
     if len(words) >= 3 and any(kinds) and any(w in LINKS for w in words) or "(" in text and any(kinds):
@@ -123,7 +125,7 @@ def parse_name(name: str) -> dict:
             place, rest = "".join(_words(tail)), _words(head)
         else:
             place, rest = words[0], words[1:]
-        shown = [body_word(w) or w for w in rest if w not in LINKS]
+        shown = [body_word(w) or w for w in rest if w not in LINKS and not (len(w) <= 4 and _near(w, "and", 1))]
         out["key"], out["rest"] = place, "".join(shown)
         return out
     out["kind"] = "person"
