@@ -78,11 +78,25 @@ FAMILIES: dict[str, list[str]] = {
 }
 
 
+def _needs(family: str, pattern: str) -> list[str]:
+    """Literals of which every match of a pattern has one: the pattern is only tried on texts that hold one."""
+    gates = {
+        "html": {0: ["<"], 1: ["<!--"], 2: ["<!"], 3: ["&"]},
+        "markdown": {0: ["]("], 1: ["[^"], 2: ["][", "]:"], 3: ["*"], 4: ["_"], 5: ["~~"], 6: ["`", "~~~"], 7: ["#"], 8: ["===", "---"], 9: ["---"], 10: [">"], 11: ["*", "-", "___"], 12: ["- ", "* ", "+ "]},
+        "wiki": {0: ["[["], 1: ["{{"], 2: ["''"], 3: ["="], 4: ["{|", "|}", "|-"], 5: ["://"], 6: ["~~~~", "__", "#"]},
+        "latex": {0: ["\\"], 1: ["\\"], 2: ["\\"], 3: ["\\(", "\\["], 4: ["$"], 5: ["$$"], 6: ["{\\"], 7: ["``"], 8: ["\\"], 9: ["\\"]},
+    }
+    return gates[family][FAMILIES[family].index(pattern)]
+
+
 def holds(text: Column, family: str) -> Column:
     """Whether a text holds markup of a family; a null text holds none."""
     found = F.lit(False)
     for pattern in FAMILIES[family]:
-        found = found | text.rlike(pattern)
+        near = F.lit(False)
+        for literal in _needs(family, pattern):
+            near = near | text.contains(literal)
+        found = found | (near & text.rlike(pattern))
     return F.coalesce(found, F.lit(False))
 
 
