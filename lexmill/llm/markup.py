@@ -49,7 +49,7 @@ FAMILIES: dict[str, list[str]] = {
         r"`[^`'\n]+`|(?m:^\s{0,3}(?:```|~~~))",
         r"(?m)^ {0,3}#{1,6} +\S",
         r"(?m)^[^\n]*\w[^\n]*\r?\n ?(?:={3,}|-{3,}) *\r?$",
-        r"(?m)^ {0,3}\|?(?: *:?-{3,}:? *\|)+ *(?::?-{3,}:?)? *\r?$",
+        r"(?m)^ {0,3}\|?(?: *(?::-+:?|-{3,}:?) *\|)+ *(?::-+:?|-{3,}:?)? *\r?$",
         r"(?m)^ {0,3}> \S",
         r"(?m)^ {0,3}(?:\*(?: ?\*){2,}|-(?: -){2,}|---+|_{3,}) *\r?$",
         r"(?m)^ {0,3}[-*+] +\S[^\n]*\r?\n(?:[^\n]*\r?\n)? {0,3}[-*+] +\S",
@@ -72,7 +72,7 @@ FAMILIES: dict[str, list[str]] = {
         r"\$\$[^$]+\$\$",
         r"\{\\[a-zA-Z]+ ",
         r"``[^`\n]*''",
-        r"\\['`\"^~=.][a-zA-Z]\b|\\['`\"^~=.]\{",
+        r"\\['`\"^][aeiouyncszAEIOUYNCSZ]|\\['`\"^~=.]\{",
         r"\d\\,|\\\\(?:\[\d|\s*\r?\n)",
     ],
 }
@@ -82,7 +82,7 @@ def _needs(family: str, pattern: str) -> list[str]:
     """Literals of which every match of a pattern has one: the pattern is only tried on texts that hold one."""
     gates = {
         "html": {0: ["<"], 1: ["<!--"], 2: ["<!"], 3: ["&"]},
-        "markdown": {0: ["]("], 1: ["[^"], 2: ["][", "]:"], 3: ["*"], 4: ["_"], 5: ["~~"], 6: ["`", "~~~"], 7: ["#"], 8: ["===", "---"], 9: ["---"], 10: [">"], 11: ["*", "-", "___"], 12: ["- ", "* ", "+ "]},
+        "markdown": {0: ["]("], 1: ["[^"], 2: ["][", "]:"], 3: ["*"], 4: ["_"], 5: ["~~"], 6: ["`", "~~~"], 7: ["#"], 8: ["===", "---"], 9: ["---", ":-"], 10: [">"], 11: ["*", "-", "___"], 12: ["- ", "* ", "+ "]},
         "wiki": {0: ["[["], 1: ["{{"], 2: ["''"], 3: ["="], 4: ["{|", "|}", "|-"], 5: ["://"], 6: ["~~~~", "__", "#"]},
         "latex": {0: ["\\"], 1: ["\\"], 2: ["\\"], 3: ["\\(", "\\["], 4: ["$"], 5: ["$$"], 6: ["{\\"], 7: ["``"], 8: ["\\"], 9: ["\\"]},
     }
@@ -216,14 +216,14 @@ def clean_markup(text: str) -> dict:
         text = fewer
     text = re.sub(r"\[(?:https?|ftp)://[^\]\s]+ ?([^\]\n]*)\](?!\()", r"\1", text)
     text = re.sub(r"(?m)^(={1,6}) *([^=\n]+?) *\1 *$", lambda m: heading(m.group(2)), text)
-    text = re.sub(r"(?m)^\{\|.*$|^\|\}.*$|^\|-.*$|^\|\+", "", text)
+    text = re.sub(r"(?m)^\{\|.*$\n?|^\|\}.*$|^\|-.*$\n?|^\|\+", "", text)
     text = re.sub(r"(?m)^! *(.*)$", lambda m: " | ".join(c.strip() for c in m.group(1).split("!!")), text)
     text = re.sub(r"(?m)^\|(?!.*\|[ \t]*$) *(.*)$", lambda m: " | ".join(c.strip() for c in m.group(1).split("||")), text)
     text = re.sub(r"''+([^'\n]+)''+", r"\1", text) if "``" not in text else re.sub(r"(?<!`)''+([^'\n`]+)''+", r"\1", text)
     # Markdown
     text = re.sub(r"(?m)^ {0,3}#{1,6} +(.*?) *#* *$", lambda m: heading(m.group(1)), text)
     text = re.sub(r"(?m)^([^\n]*\w[^\n]*)\n ?(?:={3,}|-{3,}) *$", lambda m: heading(m.group(1)), text)
-    text = re.sub(r"(?m)^ {0,3}\|?(?: *:?-{3,}:? *\|)+ *(?::?-{3,}:?)? *$\n?", "", text)
+    text = re.sub(r"(?m)^ {0,3}\|?(?: *(?::-+:?|-{3,}:?) *\|)+ *(?::-+:?|-{3,}:?)? *$\n?", "", text)
     text = re.sub(r"(?m)^ {0,3}\|(.*)\| *$", lambda m: " | ".join(c.strip() for c in m.group(1).split("|")), text)
     text = re.sub(r"(?m)^ {0,3}(?:\*(?: ?\*){2,}|-(?: -){2,}|---+|_{3,}) *$", "", text)
     text = re.sub(r"!\[([^\]\n]*)\]\((?:[^()\n]|\([^()\n]*\))*\)", r"\1", text)
