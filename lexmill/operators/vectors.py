@@ -27,6 +27,8 @@ DIMS = 1280
 SCALE = 1e5
 #: Token signs a worker keeps (one byte a sign).
 KEPT_TOKENS = 20_000
+#: Documents projected at once.
+SLICE = 64
 
 
 @lru_cache(maxsize=KEPT_TOKENS)
@@ -37,18 +39,32 @@ def token_signs(token: str, dims: int) -> np.ndarray:
     return (bits.astype(np.int8) << 1) - 1
 
 
-def project(tokens: list[str] | None, dims: int = DIMS) -> np.ndarray:
-    """Vector of one document's tokens; empty strings don't count."""
-    counts = Counter(t for t in tokens or [] if t)
-    if not counts:
-        return np.full(dims, math.sqrt(dims), dtype=np.float32)
-    total = sum(counts.values())
-    out = np.zeros(dims, dtype=np.float64)
-    for token, n in sorted(counts.items()):
-        weight = math.log(n / total * SCALE)
-        if weight > 0:
-            out += weight * token_signs(token, dims)
-    return out.astype(np.float32)
+def project(documents: list[list[str] | None], dims: int = DIMS) -> np.ndarray:
+    """Vectors of some documents, a row each, by one matrix product; empty strings don't count."""
+    place: dict[str, int] = {}
+    at, columns, weights = [], [], []
+    empty = []
+    for i, tokens in enumerate(documents):
+        counts = Counter(t for t in tokens or [] if t)
+        if not counts:
+            empty.append(i)
+            continue
+        total = sum(counts.values())
+        for token, n in counts.items():
+            weight = math.log(n / total * SCALE)
+            if weight > 0:
+                at.append(i)
+                columns.append(place.setdefault(token, len(place)))
+                weights.append(weight)
+    if place:
+        signs = np.stack([token_signs(t, dims) for t in place]).astype(np.float64)
+        w = np.zeros((len(documents), len(place)))
+        w[at, columns] = weights
+        out = (w @ signs).astype(np.float32)
+    else:
+        out = np.zeros((len(documents), dims), dtype=np.float32)
+    out[empty] = math.sqrt(dims)
+    return out
 
 
 def random_projection(corpus: DataFrame, dims: int = DIMS) -> DataFrame:
@@ -56,9 +72,9 @@ def random_projection(corpus: DataFrame, dims: int = DIMS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # vectors are far larger than texts
-                part = batch.slice(at, 256)
-                rows = np.stack([project(t, dims) for t in part.column("t").to_pylist()])
+            for at in range(0, batch.num_rows, SLICE):  # vectors are far larger than texts
+                part = batch.slice(at, SLICE)
+                rows = project(part.column("t").to_pylist(), dims)
                 offsets = pa.array(np.arange(0, rows.size + 1, dims, dtype=np.int32))
                 bits = pa.array([np.packbits(v > 0).tobytes() for v in rows], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(rows.ravel())), bits], names=["nc:id", "SRP", "SRP_bits"])
