@@ -330,11 +330,17 @@ ORACLES["years_in_titles"] = """SELECT "@id", title, TRY_CAST(nullif(regexp_extr
 @query
 def wrapped_arrays(spark, sf_dir):
     """Single values and arrays in one column: the keywords of the raw lines."""
-    lines = table(spark, sf_dir, "dissertation_files").select("feed", "file_no", "line_no", F.get_json_object("line", "$.keywords").alias("keywords")).filter("keywords is not null")
+    whole = table(spark, sf_dir, "dissertation_files").filter(F.try_parse_json("line").isNotNull())
+    lines = whole.select("feed", "file_no", "line_no", F.get_json_object("line", "$.keywords").alias("keywords")).filter("keywords is not null")
     wrapped = catalog.wrap_arrays(lines, ["keywords"])
     return wrapped.select("feed", "file_no", "line_no", F.size("keywords").cast("long").alias("n"))
 
 
+ORACLES["wrapped_arrays"] = """
+WITH k AS (SELECT feed, file_no, line_no, json_extract(line, '$.keywords') AS k FROM dissertation_files WHERE json_valid(line))
+SELECT feed, file_no, line_no, CAST(CASE WHEN json_type(k) = 'ARRAY' THEN json_array_length(k) ELSE 1 END AS BIGINT) AS n FROM k WHERE json_type(k) IS NOT NULL AND json_type(k) <> 'NULL'"""
+
+
 def _flat(spark, sf_dir):
     t = table(spark, sf_dir, "dissertations").groupBy("filename").agg(F.min_by(F.struct("school", "keywords", "completionyear", "hasdecadenamed", "dissertation"), F.struct("loaded_at", "dissertation", "advisor")).alias("r")).select("filename", "r.*")
     numbered = t.withColumn("nc:id", F.col("filename").cast("long")).drop("filename")

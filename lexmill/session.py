@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +64,16 @@ def cut(df: DataFrame) -> DataFrame:
 def shuffle_width(spark: SparkSession) -> int:
     """Number of tasks that a shuffle of this session has."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that Python workers find it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lexmill_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="lexmill-package-")
+    staged = Path(folder) / "staged"
+    shutil.copytree(package, staged / package.name, ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(str(Path(folder) / f"{package.name}-package"), "zip", staged))
+    sc._lexmill_shipped = True
