@@ -32,7 +32,9 @@ class Likeness:
 
     shape: float = 0.4
     words: float = 0.1
-    filled_apart: float = 0.45
+    #: Difference of the shares of the lines with the key that have a value, and how much more of it few lines allow (over the root of their number).
+    filled_apart: float = 0.3
+    filled_apart_few: float = 0.6
     #: With so few values words say little, then a telling shape must do.
     few: int = 6
     few_shape: float = 0.95
@@ -71,19 +73,19 @@ def tagged_values(lines: DataFrame) -> DataFrame:
 
 
 def file_schemas(values: DataFrame) -> DataFrame:
-    """The fused schema of each file: ``feed``, ``file_no``, ``seq``, ``lines``, ``key``, ``filled``, ``alternatives`` (type -> values), ``type``.
+    """The fused schema of each file: ``feed``, ``file_no``, ``seq``, ``lines``, ``key``, ``filled``, ``present``, ``alternatives`` (type -> values), ``type``.
 
     ``type`` is that of most values (of equals the first by name); without any
     value the key keeps its last type in the feed.  ``seq`` numbers the files of
     a feed that hold a whole line.
     """
     count = lambda t: F.count(F.when(F.col("type") == t, 1))
-    keys = values.groupBy("feed", "file_no", "key").agg(F.count("value").alias("filled"), *[count(t).alias(f"n_{t}") for t in TYPES])
+    keys = values.groupBy("feed", "file_no", "key").agg(F.count("value").alias("filled"), F.count("*").alias("present"), *[count(t).alias(f"n_{t}") for t in TYPES])
     best = F.array_max(F.array(*[F.struct(F.col(f"n_{t}").alias("n"), F.lit(-i).alias("o")) for i, t in enumerate(TYPES)]))
     major = F.when(best["n"] > 0, F.element_at(F.array(*map(F.lit, TYPES)), F.lit(1) - best["o"]))
     pairs = F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"n_{t}").alias("n")) for t in TYPES])
     held = F.map_from_entries(F.filter(pairs, lambda p: p["n"] > 0))
-    keys = keys.select("feed", "file_no", "key", "filled", held.alias("alternatives"), major.alias("major"))
+    keys = keys.select("feed", "file_no", "key", "filled", "present", held.alias("alternatives"), major.alias("major"))
     history = W.partitionBy("feed", "key").orderBy("file_no").rowsBetween(W.unboundedPreceding, 0)
     keys = keys.withColumn("type", F.last("major", ignorenulls=True).over(history)).drop("major")
     files = values.select("feed", "file_no", "line_no").distinct().groupBy("feed", "file_no").agg(F.count("*").alias("lines"))
@@ -93,8 +95,8 @@ def file_schemas(values: DataFrame) -> DataFrame:
 
 def _steps(schemas: DataFrame) -> DataFrame:
     """Keys of each file beside those of the file before it: ``old_type``/``type`` with ``here`` and ``before``; the first file of a feed is left out."""
-    now = schemas.select("feed", "seq", "file_no", "key", "type", "lines", F.lit(True).alias("here"))
-    then = schemas.select("feed", (F.col("seq") + 1).alias("seq"), "key", F.col("type").alias("old_type"), F.col("lines").alias("old_lines"), F.lit(True).alias("before"))
+    now = schemas.select("feed", "seq", "file_no", "key", "type", "present", F.lit(True).alias("here"))
+    then = schemas.select("feed", (F.col("seq") + 1).alias("seq"), "key", F.col("type").alias("old_type"), F.col("present").alias("old_present"), F.lit(True).alias("before"))
     files = schemas.select("feed", "seq", "file_no").distinct().withColumnRenamed("file_no", "at")
     both = now.join(then, ["feed", "seq", "key"], "full").join(files, ["feed", "seq"])  # a key that went has no file of its own
     return both.filter("seq > 1").withColumn("file_no", F.col("at")).drop("at")
@@ -117,8 +119,8 @@ def value_shape(text: Column) -> Column:
 
 def _renames(values: DataFrame, steps: DataFrame, like: Likeness) -> DataFrame:
     """``feed``, ``seq``, ``old_key``, ``key`` of fields that go on under another key."""
-    went = steps.filter("here is null").select("feed", "seq", "key", "old_lines")
-    came = steps.filter("before is null").select("feed", "seq", "key", "lines")
+    went = steps.filter("here is null").select("feed", "seq", "key", "old_present")
+    came = steps.filter("before is null").select("feed", "seq", "key", "present")
     moved = went.select("feed", "seq").distinct().join(came.select("feed", "seq").distinct(), ["feed", "seq"])
     went, came = went.join(moved, ["feed", "seq"]), came.join(moved, ["feed", "seq"])
     numbered = values.filter("value is not null").select("feed", "file_no", "key", plain_text(F.col("value")).alias("text")).filter("text <> ''")
@@ -148,10 +150,11 @@ def _renames(values: DataFrame, steps: DataFrame, like: Likeness) -> DataFrame:
     met = met.join(went.withColumnRenamed("key", "old_key"), ["feed", "seq", "old_key"]).join(came, ["feed", "seq", "key"])
     shapes = F.col("dot") / (F.col("n_old_norm") * F.col("n_new_norm"))
     words = (F.coalesce(F.col("old_met") / F.col("n_old_words"), F.lit(0.0)) + F.coalesce(F.col("new_met") / F.col("n_new_words"), F.lit(0.0))) / 2
-    filled = F.abs(F.col("n_old_filled") / F.col("old_lines") - F.col("n_new_filled") / F.col("lines"))
+    filled = F.abs(F.col("n_old_filled") / F.col("old_present") - F.col("n_new_filled") / F.col("present"))
     few = (F.least("n_old_filled", "n_new_filled") < like.few) & (F.least("n_old_long", "n_new_long") >= 4) & (shapes >= like.few_shape)
-    alike = (filled <= like.filled_apart) & (((shapes >= like.shape) & (words >= like.words)) | few)
-    scored = met.filter(alike).select("feed", "seq", "old_key", "key", (shapes + words).alias("score"))
+    apart = like.filled_apart + like.filled_apart_few / F.sqrt(F.least("old_present", "present"))
+    alike = (filled <= apart) & (((shapes >= like.shape) & (words >= like.words)) | few)
+    scored = met.filter(alike).select("feed", "seq", "old_key", "key", (shapes + words - filled).alias("score"))
 
     def choose(pairs: pd.DataFrame) -> pd.DataFrame:
         taken, rows = set(), []
