@@ -197,3 +197,89 @@ def _changes(values: DataFrame, schemas: DataFrame, like: Likeness) -> tuple[Dat
     for part in parts:
         out = out.unionByName(part)
     return out, renames
+
+
+# -- one table ------------------------------------------------------------------
+
+
+def _field_spans(steps: DataFrame, renames: DataFrame) -> DataFrame:
+    """``feed``, ``key``, ``since``, ``until``, ``field``: where a key stands for a field that began under another name."""
+    moved = renames.select("feed", "seq", "old_key", "key")
+    ended = steps.filter("here is null").select("feed", "seq", F.col("key").alias("old_key")).join(renames.select("feed", "seq", "old_key"), ["feed", "seq", "old_key"], "left_anti").select("feed", "seq", "old_key", F.lit(None).cast("string").alias("key"))
+    touched = moved.select("feed").distinct()
+
+    def follow(events: pd.DataFrame) -> pd.DataFrame:
+        origin: dict[str, tuple[str, int]] = {}
+        rows = []
+        for seq, group in events.groupby("seq", sort=True):
+            left = {}
+            for e in group.itertuples():
+                left[e.old_key] = origin.pop(e.old_key, None)
+                if left[e.old_key]:
+                    field, since = left[e.old_key]
+                    rows.append((e.feed, e.old_key, since, int(seq), field))
+            for e in group[group["key"].notna()].itertuples():
+                origin[e.key] = (left[e.old_key][0] if left[e.old_key] else e.old_key, int(seq))
+        feed = events["feed"].iloc[0]
+        rows += [(feed, key, since, 2**31 - 1, field) for key, (field, since) in origin.items()]
+        return pd.DataFrame(rows, columns=["feed", "key", "since", "until", "field"])
+
+    events = moved.unionByName(ended).join(touched, "feed")
+    return events.groupBy("feed").applyInPandas(follow, "feed string, key string, since int, until int, field string")  # a group is the changes of one feed
+
+
+#: What a canonical type is in the table.
+COLUMN_TYPES = {"array": "array<string>", "boolean": "boolean", "float": "double", "integer": "bigint", "object": "string", "string": "string"}
+
+
+def to_canonical(kind: Column, value: Column, canonical: str) -> Column:
+    """A value of any type as the canonical type of its field; null where it can't be."""
+    listed = F.from_json(value, "array<string>")
+    named = F.from_json(value, "map<string,string>")
+    inner = F.when(named["last"].isNotNull() & named["first"].isNotNull(), F.concat_ws(", ", named["last"], named["first"])).otherwise(F.array_join(F.map_values(named), ", "))
+    text = F.when(kind == "array", F.array_join(listed, "; ")).when(kind == "object", inner).otherwise(value)
+    if canonical == "array":
+        return F.when(kind == "array", listed).when(kind == "string", F.split(value, r"\s*[|;]\s*|,\s+")).otherwise(F.array(text))
+    if canonical == "boolean":
+        return F.when(F.lower(text).isin("true", "1", "yes"), True).when(F.lower(text).isin("false", "0", "no"), False)
+    return text.try_cast(COLUMN_TYPES[canonical])
+
+
+def consistent_table(lines: DataFrame, like: Likeness = Likeness()) -> tuple[DataFrame, DataFrame]:
+    """All lines in one table, and the report of changes.
+
+    The table has ``feed``, ``file_no``, ``line_no`` and, for every field by the
+    name it began with in its feed, a column of its canonical type (that of most
+    of its values anywhere) and for each other type that occurs a branch
+    ``{field}__{type}`` with the value as it came (JSON text).  Names of columns
+    that differ only by case get a number.  Lines that aren't whole are left out.
+    """
+    values = cut(tagged_values(lines))
+    schemas = cut(file_schemas(values))
+    changes, renames = _changes(values, schemas, like)
+    spans = _field_spans(_steps(schemas), renames)
+    files = schemas.select("feed", "file_no", "seq").distinct()
+    placed = values.join(files, ["feed", "file_no"])
+    held = spans.select(F.col("feed").alias("f"), F.col("key").alias("k"), "since", "until", "field")
+    on = (F.col("feed") == F.col("f")) & (F.col("key") == F.col("k")) & (F.col("seq") >= F.col("since")) & (F.col("seq") < F.col("until"))
+    placed = cut(placed.join(held, on, "left").select("feed", "file_no", "line_no", F.coalesce("field", "key").alias("field"), "type", "value"))
+    kinds: dict[str, dict[str, int]] = {}
+    for r in placed.groupBy("field", "type").agg(F.count("*").alias("n")).collect():  # fields x types
+        kinds.setdefault(r["field"], {})[r["type"]] = r["n"]
+    columns, seen = [], {"feed", "file_no", "line_no"}
+
+    def name(wanted: str) -> str:
+        out, k = wanted, 2
+        while out.lower() in seen:
+            out, k = f"{wanted}_{k}", k + 1
+        seen.add(out.lower())
+        return out
+
+    for field in sorted(kinds):
+        types = {t: n for t, n in kinds[field].items() if t is not None}
+        canonical = min(types, key=lambda t: (-types[t], t)) if types else "string"
+        mine = F.col("field") == field
+        columns.append(F.first(F.when(mine, to_canonical(F.col("type"), F.col("value"), canonical)), ignorenulls=True).alias(name(field)))
+        columns += [F.max(F.when(mine & (F.col("type") == t), F.col("value"))).alias(name(f"{field}__{t}")) for t in sorted(types) if t != canonical]
+    table = placed.groupBy("feed", "file_no", "line_no").agg(*(columns or [F.count("*").alias("values")]))
+    return table, changes

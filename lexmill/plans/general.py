@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.operators.drift import schema_changes
+from lexmill.operators.drift import consistent_table, schema_changes
 from lexmill.operators.heavy_tokens import token_leaders
 from lexmill.plans.tables import table
 
@@ -53,5 +53,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.select("feed", "file_no", "change_kind", "field").distinct()
 
 
-QUERIES = {"p7_found": p7_found, "p4_found": p4_found, "p4_tokens": p4_tokens}
+def p7_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report with old names and types."""
+    return schema_changes(table(spark, sf_dir, "dissertation_files"))
+
+
+def p7_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole line in one consistent table."""
+    return consistent_table(table(spark, sf_dir, "dissertation_files"))[0]
+
+
+QUERIES = {"p7_found": p7_found, "p7_changes": p7_changes, "p7_table": p7_table, "p4_found": p4_found, "p4_tokens": p4_tokens}
 ORACLES = {"p4_found": P4_FOUND_SQL, "p4_tokens": P4_TOKENS_SQL}

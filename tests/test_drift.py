@@ -1,6 +1,6 @@
 import json
 
-from lexmill.operators.drift import schema_changes, tagged_values
+from lexmill.operators.drift import consistent_table, schema_changes, tagged_values
 from tests.conftest import rows
 
 LINES = "feed string, file_no long, file_name string, line_no long, arrived_at timestamp_ntz, line string"
@@ -51,3 +51,16 @@ def test_types_of_values(spark):
 def test_empty_and_null(spark):
     assert changes(schema_changes(spark.createDataFrame([], LINES))) == []
     assert changes(schema_changes(spark.createDataFrame([(None, 1, None, 1, None, "{}"), ("f", None, None, None, None, None)], LINES))) == []
+
+
+def test_one_table(spark):
+    a = [{"id": str(i), "advisor": NAMES[i % 8], "n": i} for i in range(10)]
+    b = [{"id": str(i + 8), "chair": {"last": NAMES[i].split(", ")[0], "first": NAMES[i].split(", ")[1]}, "n": str(i)} for i in range(8)]
+    c = [{"id": str(i + 16), "chair": [NAMES[i]], "n": "x", "ID": True} for i in range(8)]
+    table, report = consistent_table(lines(spark, {("f", 1): a, ("f", 2): b, ("f", 3): c}))
+    assert {"ID", "id_2", "advisor", "advisor__object", "advisor__array", "n", "n__integer"} <= set(table.columns)
+    got = {(r["file_no"], r["line_no"]): r for r in table.collect()}
+    assert len(got) == 26 and all(got[k, i]["advisor"] == NAMES[i] for k in (1, 2, 3) for i in range(8))
+    assert got[3, 0]["advisor__array"] == f'["{NAMES[0]}"]' and got[1, 0]["advisor__array"] is None
+    assert report.filter("change_kind = 'renamed'").count() == 1
+    assert consistent_table(spark.createDataFrame([], LINES))[0].count() == 0
