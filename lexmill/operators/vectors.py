@@ -95,26 +95,28 @@ def packed_words(packed: Column | str, dims: int) -> Column:
     return bits_to_longs(p, dims // 64)
 
 
+def signature_classes(df: DataFrame, id: str, words: str) -> DataFrame:
+    """``id``, ``class``: the smallest id with the same signature, by an aggregate and a join; null signatures are left out."""
+    held = df.filter(F.col(words).isNotNull())
+    first = held.groupBy(F.col(words).alias("w")).agg(F.min(id).alias("class"))
+    return held.join(first, F.col(words) == F.col("w")).select(id, "class")
+
+
 def close_pairs(df: DataFrame, id: str, words: str, dims: int, most: int) -> DataFrame:
-    """``a``, ``b`` (a < b), ``distance``: every pair whose signatures differ in at most ``most`` bits.
+    """``a``, ``b`` (a < b), ``distance``: pairs of classes whose signatures differ in at most ``most`` bits.
 
-    By the pigeonhole principle such signatures agree in one of most+1 bands, so
-    pairs are found by an equi-join on (band, its bits) and none is missed.
-    Copies of one signature are joined as one row and only expanded as pairs
-    that were asked for.
+    A class is named by its smallest id and stands for all copies of its
+    signature (see :func:`signature_classes`), so copies are neither collected
+    nor paired.  By the pigeonhole principle such signatures agree in one of
+    most+1 bands: pairs are found by an equi-join on (band, its bits), and none
+    is missed.
     """
     bands = most + 1
     at = [round(i * dims / bands) for i in range(bands + 1)]
-    signatures = df.filter(F.col(words).isNotNull()).groupBy(F.col(words).alias("words")).agg(F.collect_set(F.col(id)).alias("ids"))
+    signatures = df.filter(F.col(words).isNotNull()).groupBy(F.col(words).alias("words")).agg(F.min(id).alias("id"))
     bits = F.concat_ws("", F.transform("words", lambda x: F.lpad(F.conv(x.cast("string"), 10, 2), 64, "0")))
     cuts = F.array(*[F.substring("shown", lo + 1, hi - lo) for lo, hi in zip(at, at[1:])])
-    keys = signatures.withColumn("shown", bits).select("words", F.posexplode(cuts).alias("band", "bits"))
-    left, right = keys.withColumnRenamed("words", "wa"), keys.withColumnRenamed("words", "wb")
-    met = left.join(right, ["band", "bits"]).filter("wa < wb").select("wa", "wb").distinct()
-    met = met.withColumn("distance", hamming(F.col("wa"), F.col("wb")).cast("long")).filter(F.col("distance") <= most)
-    ids = signatures.select(F.col("words").alias("w"), "ids")
-    pairs = met.join(ids.withColumnsRenamed({"w": "wa", "ids": "ia"}), "wa").join(ids.withColumnsRenamed({"w": "wb", "ids": "ib"}), "wb")
-    apart = pairs.select("distance", F.explode("ia").alias("x"), "ib").select("distance", "x", F.explode("ib").alias("y"))
-    same = signatures.filter(F.size("ids") > 1).select(F.lit(0).cast("long").alias("distance"), F.explode("ids").alias("x"), "ids").select("distance", "x", F.explode("ids").alias("y")).filter("x < y")
-    both = apart.unionByName(same)
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+    keys = signatures.withColumn("shown", bits).select("id", "words", F.posexplode(cuts).alias("band", "bits"))
+    left, right = keys.withColumnsRenamed({"id": "a", "words": "wa"}), keys.withColumnsRenamed({"id": "b", "words": "wb"})
+    met = left.join(right, ["band", "bits"]).filter("a < b").withColumn("distance", hamming(F.col("wa"), F.col("wb")).cast("long"))
+    return met.filter(F.col("distance") <= most).select("a", "b", "distance").distinct()

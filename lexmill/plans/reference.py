@@ -207,15 +207,22 @@ def srp(spark, sf_dir):
 
 @query
 def hamming_pairs(spark, sf_dir):
-    """Pairs of embeddings whose signs differ in at most sixteen places."""
+    """Pairs of embeddings whose signs differ in at most sixteen places, equal signs as one class."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", vectors.sign_words("embedding", 64).alias("words"))
     return vectors.close_pairs(e, "vec_id", "words", 64, 16)
 
 
-_SIGNS = """s AS (SELECT vec_id, [CASE WHEN x > 0 THEN 1 ELSE 0 END FOR x IN embedding[1:64]] AS b FROM embeddings)"""
+@query
+def signature_classes(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", vectors.sign_words("embedding", 64).alias("words"))
+    return vectors.signature_classes(e, "vec_id", "words")
+
+
+_SIGNS = """s AS (SELECT vec_id, [CASE WHEN x > 0 THEN 1 ELSE 0 END FOR x IN embedding[1:64]] AS b FROM embeddings), c AS (SELECT b, min(vec_id) AS vec_id FROM s GROUP BY b)"""
 ORACLES["hamming_pairs"] = f"""
-WITH {_SIGNS}, p AS (SELECT x.vec_id AS a, y.vec_id AS b, CAST(list_sum([CASE WHEN x.b[i] <> y.b[i] THEN 1 ELSE 0 END FOR i IN range(1, 65)]) AS BIGINT) AS distance FROM s x JOIN s y ON x.vec_id < y.vec_id)
+WITH {_SIGNS}, p AS (SELECT x.vec_id AS a, y.vec_id AS b, CAST(list_sum([CASE WHEN x.b[i] <> y.b[i] THEN 1 ELSE 0 END FOR i IN range(1, 65)]) AS BIGINT) AS distance FROM c x JOIN c y ON x.vec_id < y.vec_id)
 SELECT * FROM p WHERE distance <= 16"""
+ORACLES["signature_classes"] = f"""WITH {_SIGNS} SELECT s.vec_id, c.vec_id AS class FROM s JOIN c USING (b)"""
 
 
 # -- catalog -----------------------------------------------------------------------

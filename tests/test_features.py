@@ -134,5 +134,8 @@ def test_close_pairs_by_hand(spark):
     values = base + [b ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for b in base] + [base[0], base[0]]
     data = [(i, [1.0 if v >> (63 - k) & 1 else -1.0 for k in range(64)]) for i, v in enumerate(values)]
     df = spark.createDataFrame(data, "id long, e array<double>").select("id", vectors.sign_words("e", 64).alias("w"))
-    want = [(i, j, bin(values[i] ^ values[j]).count("1")) for i in range(len(values)) for j in range(i + 1, len(values))]
+    first = {v: values.index(v) for v in values}
+    reps = sorted(first.values())
+    want = [(i, j, bin(values[i] ^ values[j]).count("1")) for i in reps for j in reps if i < j]
     assert rows(vectors.close_pairs(df, "id", "w", 64, 5)) == sorted((x for x in want if x[2] <= 5), key=repr)
+    assert dict(rows(vectors.signature_classes(df, "id", "w"))) == {i: first[v] for i, v in enumerate(values)}
