@@ -98,8 +98,8 @@ def packed_words(packed: Column | str, dims: int) -> Column:
 def signature_classes(df: DataFrame, id: str, words: str) -> DataFrame:
     """``id``, ``class``: the smallest id with the same signature, by an aggregate and a join; null signatures are left out."""
     held = df.filter(F.col(words).isNotNull())
-    first = held.groupBy(F.col(words).alias("w")).agg(F.min(id).alias("class"))
-    return held.join(first, F.col(words) == F.col("w")).select(id, "class")
+    first = held.groupBy(F.col(words).alias("__words")).agg(F.min(id).alias("class"))
+    return held.join(first, F.col(words) == F.col("__words")).select(id, "class")
 
 
 def close_pairs(df: DataFrame, id: str, words: str, dims: int, most: int) -> DataFrame:
