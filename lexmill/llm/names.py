@@ -279,6 +279,12 @@ def _edits_by_length() -> Column:
     return F.when(shorter < 4, F.col("distance") <= 0).when(shorter < 6, F.col("distance") <= 1).otherwise(F.col("distance") <= 2)
 
 
+def _swapped(least: int) -> Column:
+    """Two slips of which one swaps neighbours: three edits, but nearly the same letters."""
+    letters = lambda c: F.array_join(F.array_sort(F.split(F.col(c), "")), "")
+    return (F.col("distance") == 3) & (F.least(F.length("a"), F.length("b")) >= least) & (F.levenshtein(letters("a"), letters("b")) <= 2)
+
+
 def name_entities(names: DataFrame) -> DataFrame:
     """``name``, ``kind``, ``entity`` (a hash) of every distinct name that names somebody.
 
@@ -290,7 +296,14 @@ def name_entities(names: DataFrame) -> DataFrame:
     counted = names.filter(F.col("name").isNotNull() & ~F.trim("name").isin(PLACEHOLDERS)).groupBy("name").agg(F.count("*").alias("n"))
     parts = cut(settle_order(cut(parsed_names(counted))))
     roots = settle_spellings(parts.select(F.col("kind").alias("grp"), "key", "n"), 2, _edits_by_length())
-    parts = cut(parts.join(roots.select(F.col("grp").alias("kind"), "key", "root"), ["kind", "key"]))
+    meant = F.create_map(*[F.lit(x) for nick, full in NICKNAMES.items() for x in (nick, full)])
+    parts = parts.join(roots.select(F.col("grp").alias("kind"), "key", "root"), ["kind", "key"])
+    # two slips in one key: among people of one initial, and places of one kind of body
+    within = F.when(F.col("kind") == "person", F.substring(F.coalesce(F.element_at(meant, F.col("given")), F.col("given")), 1, 1)).otherwise(F.col("rest"))
+    parts = cut(parts.withColumn("within", F.concat_ws("/", "kind", F.coalesce(within, F.lit("")))))
+    roots = settle_spellings(parts.filter("within <> 'person/'").select(F.col("within").alias("grp"), F.col("root").alias("key"), "n"), 3, _swapped(7))
+    parts = parts.join(roots.select(F.col("grp").alias("within"), F.col("key").alias("root"), F.col("root").alias("further")), ["within", "root"], "left")
+    parts = cut(parts.withColumn("root", F.coalesce("further", "root")).drop("within", "further"))
 
     bodies = parts.filter("kind = 'body'")
     same = settle_spellings(bodies.select(F.col("root").alias("grp"), F.col("rest").alias("key"), "n"), 3, F.lit(True))
@@ -298,14 +311,13 @@ def name_entities(names: DataFrame) -> DataFrame:
 
     people = parts.filter("kind = 'person'").withColumn("grp", F.concat_ws("/", "root", "generation"))
     spelt = people.filter(F.length("given") > 1)
-    meant = F.create_map(*[F.lit(x) for nick, full in NICKNAMES.items() for x in (nick, full)])
     spelt = spelt.withColumn("options", F.split(F.coalesce(F.element_at(meant, F.col("given")), F.col("given")), " "))
     # a nickname of several names stands for the one that occurs with the surname
     present = spelt.filter(F.element_at(meant, F.col("given")).isNull()).groupBy("grp", F.col("given").alias("option")).agg(F.sum("n").alias("present"))
     options = spelt.select("grp", "given", F.posexplode(F.col("options")).alias("pos", "option")).distinct()
     chosen = options.join(present, ["grp", "option"], "left").groupBy("grp", "given").agg(F.max(F.struct(F.coalesce("present", F.lit(0)).alias("present"), (-F.col("pos")).alias("pos"), "option")).alias("c")).select("grp", "given", F.col("c.option").alias("full"))
     spelt = cut(spelt.join(chosen, ["grp", "given"]).select("name", "kind", "n", "grp", "full", "middle"))
-    firsts = settle_spellings(spelt.select("grp", F.col("full").alias("key"), "n"), 2, _edits_by_length())
+    firsts = settle_spellings(spelt.select("grp", F.col("full").alias("key"), "n"), 3, _edits_by_length() | _swapped(5))
     spelt = spelt.join(firsts.select("grp", F.col("key").alias("full"), F.col("root").alias("first")), ["grp", "full"])
 
     # middle names: a form without one goes to the only one there is
