@@ -34,8 +34,17 @@ GRAM, RECORD, WEIGHT = "__gram", "__record", "__weight"
 def _differs(column: pa.Array, before: pa.Array) -> pa.Array:
     """Whether an entry differs from the one before it; nulls equal each other."""
     a, b = column, pa.concat_arrays([before, column[:-1]]) if len(before) else column[:-1]
+    if pa.types.is_list(a.type):
+        sizes = pc.unique(pc.list_value_length(a)).to_pylist() + pc.unique(pc.list_value_length(b)).to_pylist()
+        if len(set(sizes)) == 1 and sizes[0]:  # n-grams: all of n words
+            unlike = _differs_flat(a.flatten(), b.flatten()).to_numpy(zero_copy_only=False)
+            return pa.array(unlike.reshape(len(a), sizes[0]).any(axis=1))
     if pa.types.is_nested(a.type):  # compared by value
-        return pa.array([x != y for x, y in zip(a.to_pylist(), b.to_pylist())])
+        return pa.array([x != y for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+    return _differs_flat(a, b)
+
+
+def _differs_flat(a: pa.Array, b: pa.Array) -> pa.Array:
     unequal = pc.fill_null(pc.not_equal(a, b), True)
     both = pc.and_(pc.is_null(a), pc.is_null(b))
     return pc.and_(unequal, pc.invert(both))
