@@ -86,3 +86,8 @@ def read_texts(spark: SparkSession, path: str, format: str = "txt", compression:
     if Path(path).is_dir():
         return read_folder(spark, path, format, compression)
     return read_lines(spark, path)
+
+
+def ids_by_file(stacks: DataFrame, id: str = "@id") -> DataFrame:
+    """``@id`` and the ``file`` that holds it."""
+    return stacks.select(F.col(f"`{id}`").cast("string").alias("@id"), F.col("_metadata.file_path").alias("file"))

@@ -87,6 +87,8 @@ def test_corpus_from_folder(spark, folder, tmp_path):
     c.to_parquet(str(tmp_path / "out"), ("text", "document_lengths", "upper"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert {"@id", "nc:id", "nc:text", "nc:nwords", "nc:upper", "stack"} == set(back.columns)
+    files = texts.ids_by_file(texts.read_stacks(spark, str(tmp_path / "out")))
+    assert files.count() == 3 and all(r["file"].endswith(".parquet") for r in files.collect())
     again = Corpus(spark, str(tmp_path / "root2"), bookstacks=str(tmp_path / "out"))
     assert dict(rows(again.identified_texts().select("`@id`", "text"))) == THREE
     with pytest.raises(KeyError):
