@@ -123,20 +123,21 @@ def _renames(values: DataFrame, steps: DataFrame, like: Likeness) -> DataFrame:
     came = steps.filter("before is null").select("feed", "seq", "key", "present")
     moved = went.select("feed", "seq").distinct().join(came.select("feed", "seq").distinct(), ["feed", "seq"])
     went, came = went.join(moved, ["feed", "seq"]), came.join(moved, ["feed", "seq"])
-    numbered = values.filter("value is not null").select("feed", "file_no", "key", plain_text(F.col("value")).alias("text")).filter("text <> ''")
     at = steps.select("feed", "seq", "file_no").distinct()
     previous = steps.select("feed", "seq").distinct()
 
     def features(keys: DataFrame, files: DataFrame, n: str, total: str) -> DataFrame:
-        mine = numbered.join(files, ["feed", "file_no"]).join(keys.select("feed", "seq", "key"), ["feed", "seq", "key"])
+        wanted = keys.select("feed", "seq", "key").join(files, ["feed", "seq"]).select("feed", "file_no", "key", "seq")  # the few keys that moved
+        mine = values.filter("value is not null").join(wanted, ["feed", "file_no", "key"])
+        mine = mine.select("feed", "seq", "key", plain_text(F.col("value")).alias("text")).filter("text <> ''")
         words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
         tags = F.concat(F.array(F.concat(F.lit("s:"), value_shape(F.col("text")))), F.transform(words, lambda w: F.concat(F.lit("w:"), w)))
         return mine.select("feed", "seq", F.col("key").alias(total), F.explode(tags).alias("tag")).groupBy("feed", "seq", total, "tag").agg(F.count("*").alias(n))
 
     order = W.partitionBy("feed").orderBy("file_no")
     all_files = values.select("feed", "file_no").distinct().withColumn("seq", F.row_number().over(order))
-    old = features(went, all_files.select("feed", "file_no", (F.col("seq") + 1).alias("seq")).join(previous, ["feed", "seq"]), "n_old", "old_key")
-    new = features(came, all_files.join(at.select("feed", "seq"), ["feed", "seq"]), "n_new", "key")
+    old = cut(features(went, all_files.select("feed", "file_no", (F.col("seq") + 1).alias("seq")).join(previous, ["feed", "seq"]), "n_old", "old_key"))
+    new = cut(features(came, all_files.join(at.select("feed", "seq"), ["feed", "seq"]), "n_new", "key"))
     shape = F.col("tag").startswith("s:")
     norm = lambda df, n, k: df.groupBy("feed", "seq", k).agg(
         F.sqrt(F.sum(F.when(shape, F.col(n) * F.col(n)))).alias(f"{n}_norm"), F.sum(F.when(~shape, F.col(n))).alias(f"{n}_words"), F.max(F.when(shape, F.length("tag") - 2)).alias(f"{n}_long"), F.sum(F.when(shape, F.col(n))).alias(f"{n}_filled")
