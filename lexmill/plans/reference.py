@@ -97,9 +97,11 @@ ORACLES["vocabulary"] = f"WITH {_VOCAB} SELECT * FROM vocab WHERE wordid < 10000
 
 
 def _encoded(name: str, n: int, cap: int) -> None:
+    """The query takes the whole vocabulary (up to VOCABULARY_CAP); its SQL still has ``cap``, so the two part where a corpus has more tokens."""
+
     def run(spark, sf_dir):
         c = corpus(spark, sf_dir)
-        return features.encode(features.ngram_counts(c, n), features.vocabulary(c, cap), n)
+        return features.encode(features.ngram_counts(c, n), features.vocabulary(c), n)
 
     QUERIES[name] = run
     words = ", ".join(f"t[i + {k}] AS w{k}" for k in range(n))

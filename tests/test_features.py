@@ -67,6 +67,35 @@ def test_encoding_keeps_rows_outside_the_vocabulary(spark):
     assert coded.filter("word1 is null").count() > 0
 
 
+def _coded_by_hand(data, n, cap):
+    """Encoded counts of tokens ranked and cut by hand."""
+    docs = [(i, plain_tokens(t)) for i, t in data if t is not None]
+    total = Counter(w for _, tokens in docs for w in tokens)
+    ids = {w: k for k, w in enumerate(sorted(total, key=lambda w: (-total[w], w))[:cap])}
+    grams = Counter((i, *tokens[k : k + n]) for i, tokens in docs for k in range(len(tokens) - n + 1))
+    return sorted(((i, *[ids.get(w) for w in words], c) for (i, *words), c in grams.items()), key=repr)
+
+
+def test_words_outside_a_small_cap_by_broadcast_and_shuffle(spark, monkeypatch):
+    c = corpus(spark)
+    for chars in (features.BROADCAST_CHARS, -1):
+        monkeypatch.setattr(features, "BROADCAST_CHARS", chars)
+        for n, cap in ((1, 3), (2, 3), (3, 3), (2, features.VOCABULARY_CAP)):
+            got = rows(features.encode(features.ngram_counts(c, n), features.vocabulary(c, cap), n))
+            assert got == _coded_by_hand(DOCS, n, cap), (chars, n, cap)
+
+
+def test_encoding_queries_take_the_whole_vocabulary(spark, tmp_path):
+    from lexmill.plans import reference
+
+    letters = "abcdefghij"
+    word = lambda k: "".join(letters[int(d)] for d in str(k))
+    data = [(1, " ".join(word(k) for k in range(5200))), (2, "a b a")]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name, n in (("encoded_unigrams", 1), ("encoded_bigrams", 2), ("encoded_trigrams", 3)):
+        assert rows(reference.QUERIES[name](spark, str(tmp_path))) == _coded_by_hand(data, n, features.VOCABULARY_CAP), name
+
+
 def test_global_rank_of_an_empty_table(spark):
     df = spark.createDataFrame([], "k string")
     assert features.global_rank(df, [F.asc("k")], "r").count() == 0
