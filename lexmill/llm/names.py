@@ -9,7 +9,7 @@ and what meets is verified by a banded edit distance.
 
 Links are resolved per part: first surnames and places, then given names (or
 what a body does) among those of one surname (or place).  A misspelt key goes to
-the most frequent key it is linked to.  Initials, nicknames, left-out middle
+the nearest more frequent key it is linked to, and on from there.  Initials, nicknames, left-out middle
 names and inverted order are settled on the parts, by joins on keys; nowhere
 are all names of a surname compared with each other.
 """
@@ -251,18 +251,19 @@ def segment_join(keys: DataFrame, edits: int) -> DataFrame:
 
 
 def settle_spellings(keys: DataFrame, edits: int, allowed: Column) -> DataFrame:
-    """``grp``, ``key``, ``root``: every key with the most frequent spelling it leads to.
+    """``grp``, ``key``, ``root``: every key with the spelling it leads to in the end.
 
-    ``keys`` has (grp, key, n).  A key leads to the most frequent of the keys it
-    is linked to, if that is more frequent than itself (of equals the greater);
-    ``allowed`` (over a, b, distance) may narrow the links.
+    ``keys`` has (grp, key, n).  A key leads to the nearest of the more frequent
+    keys it is linked to, of equally near ones to the most frequent; to one just
+    as frequent (the greater) only if none is more frequent; ``allowed`` (over a, b, distance) may narrow the links.
     """
     keys = cut(keys.groupBy("grp", "key").agg(F.sum("n").alias("n")))
     pairs = segment_join(keys, edits).filter(allowed)
     rank = keys.select("grp", F.col("key").alias("k"), F.struct("n", "key").alias("rank"))
     ranked = pairs.join(rank.withColumnsRenamed({"k": "a", "rank": "ra"}), ["grp", "a"]).join(rank.withColumnsRenamed({"k": "b", "rank": "rb"}), ["grp", "b"])
-    up = ranked.select("grp", F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("key"), F.greatest("ra", "rb").alias("to"))
-    up = cut(up.groupBy("grp", "key").agg(F.max("to.n").alias("_"), F.max("to").alias("to")).select("grp", "key", F.col("to.key").alias("root")))
+    up = ranked.select("grp", F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("key"), F.greatest("ra", "rb").alias("to"), (F.col("ra.n") != F.col("rb.n")).alias("more"), "distance")
+    best = F.max_by("to", F.struct("more", (-F.col("distance")).alias("near"), "to"))
+    up = cut(up.groupBy("grp", "key").agg(best.alias("to")).select("grp", "key", F.col("to.key").alias("root")))
     for _ in range(30):  # every step doubles the way; links only lead up, so it ends
         on = up.select("grp", F.col("key").alias("root"), F.col("root").alias("further"))
         stepped = up.join(on, ["grp", "root"], "left")

@@ -35,6 +35,12 @@ def test_spellings_lead_to_the_most_frequent(spark):
     assert got == {"marutani": "marutani", "marutnai": "marutani", "marutnaii": "marutani", "other": "other"}
 
 
+def test_the_nearer_spelling_before_the_more_frequent(spark):
+    data = [("g", "abcdefgh", 5), ("g", "abcdefgx", 1), ("g", "yycdefgx", 50), ("g", "yycdefgz", 2)]
+    got = {r["key"]: r["root"] for r in names.settle_spellings(spark.createDataFrame(data, "grp string, key string, n long"), 2, F.lit(True)).collect()}
+    assert got == {"abcdefgh": "abcdefgh", "abcdefgx": "abcdefgh", "yycdefgx": "yycdefgx", "yycdefgz": "yycdefgx"}
+
+
 SAME = [
     ["Marutani, Edward A.", "Edward A. Marutani", "MARUTANI, Edward A. ", "marutani, ted a.", "Marutani, E. A.", "Marutani E", "Dr. Edward Marutanl", "Marutani, Edward Augustine, 1801-1870", "Marutani, E. (Edward)", " Prof. Edwrad A. Marutani."],
     ["Marutani, Josephine"],
