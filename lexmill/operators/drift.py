@@ -24,6 +24,8 @@ from lexmill.session import cut
 
 TYPES = ["array", "boolean", "float", "integer", "object", "string"]
 MISSING = ["", "NA"]
+#: What tells one whole line from another.
+LINE = ["feed", "file_no", "line_no", "__line"]
 
 
 @dataclass(frozen=True)
@@ -54,22 +56,25 @@ def type_tag(value: Column) -> Column:
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
-    """``feed``, ``file_no``, ``line_no`` and ``fields`` (map key -> variant) of every line that is a whole JSON object.
+    """``feed``, ``file_no``, ``line_no``, ``__line`` (a hash of the text) and ``fields`` (map key -> variant) of every line that is a whole JSON object.
 
-    Rows equal in these and in their text count once.
+    Rows equal in these and in their text count once; line numbers may be null or repeated.
     """
     once = lines.select("feed", "file_no", "line_no", "line").filter(F.col("feed").isNotNull() & F.col("file_no").isNotNull()).distinct()
-    v = once.select("feed", "file_no", "line_no", F.expr("try_parse_json(line)").alias("v"))
+    v = once.select("feed", "file_no", "line_no", F.xxhash64("line").alias("__line"), F.expr("try_parse_json(line)").alias("v"))
     whole = v.filter(F.col("v").isNotNull()).withColumn("v", F.when(F.expr("schema_of_variant(v)").startswith("OBJECT"), F.col("v"))).filter(F.col("v").isNotNull())
-    return whole.select("feed", "file_no", "line_no", F.expr("cast(v as map<string,variant>)").alias("fields"))
+    return whole.select(*LINE, F.expr("cast(v as map<string,variant>)").alias("fields"))
 
 
 def tagged_values(lines: DataFrame) -> DataFrame:
-    """One row per line and key: ``feed``, ``file_no``, ``line_no``, ``key``, ``type``, ``value`` (text); type and value are null for null, '' and 'NA'."""
-    flat = parsed_lines(lines).select("feed", "file_no", "line_no", F.explode("fields").alias("key", "v"))
-    flat = flat.select("feed", "file_no", "line_no", "key", type_tag(F.col("v")).alias("type"), F.expr("cast(v as string)").alias("value"))
+    """One row per line and key: ``feed``, ``file_no``, ``line_no``, ``__line``, ``key``, ``type``, ``value`` (text); type and value are null for null, '' and 'NA'.
+
+    A whole line without keys has one row, whose key is null.
+    """
+    flat = parsed_lines(lines).select(*LINE, F.explode_outer("fields").alias("key", "v"))
+    flat = flat.select(*LINE, "key", type_tag(F.col("v")).alias("type"), F.expr("cast(v as string)").alias("value"))
     gone = F.col("type").isNull() | ((F.col("type") == "string") & F.col("value").isin(MISSING))
-    return flat.select("feed", "file_no", "line_no", "key", F.when(~gone, F.col("type")).alias("type"), F.when(~gone, F.col("value")).alias("value"))
+    return flat.select(*LINE, "key", F.when(~gone, F.col("type")).alias("type"), F.when(~gone, F.col("value")).alias("value"))
 
 
 def file_schemas(values: DataFrame) -> DataFrame:
@@ -77,10 +82,10 @@ def file_schemas(values: DataFrame) -> DataFrame:
 
     ``type`` is that of most values (of equals the first by name); without any
     value the key keeps its last type in the feed.  ``seq`` numbers the files of
-    a feed that hold a whole line.
+    a feed that hold a whole line; one of lines without keys has a row with a null key.
     """
     count = lambda t: F.count(F.when(F.col("type") == t, 1))
-    keys = values.groupBy("feed", "file_no", "key").agg(F.count("value").alias("filled"), F.count("*").alias("present"), *[count(t).alias(f"n_{t}") for t in TYPES])
+    keys = values.filter("key is not null").groupBy("feed", "file_no", "key").agg(F.count("value").alias("filled"), F.count("*").alias("present"), *[count(t).alias(f"n_{t}") for t in TYPES])
     best = F.array_max(F.array(*[F.struct(F.col(f"n_{t}").alias("n"), F.lit(-i).alias("o")) for i, t in enumerate(TYPES)]))
     major = F.when(best["n"] > 0, F.element_at(F.array(*map(F.lit, TYPES)), F.lit(1) - best["o"]))
     pairs = F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"n_{t}").alias("n")) for t in TYPES])
@@ -88,15 +93,16 @@ def file_schemas(values: DataFrame) -> DataFrame:
     keys = keys.select("feed", "file_no", "key", "filled", "present", held.alias("alternatives"), major.alias("major"))
     history = W.partitionBy("feed", "key").orderBy("file_no").rowsBetween(W.unboundedPreceding, 0)
     keys = keys.withColumn("type", F.last("major", ignorenulls=True).over(history)).drop("major")
-    files = values.select("feed", "file_no", "line_no").distinct().groupBy("feed", "file_no").agg(F.count("*").alias("lines"))
+    files = values.select(*LINE).distinct().groupBy("feed", "file_no").agg(F.count("*").alias("lines"))
     files = files.withColumn("seq", F.row_number().over(W.partitionBy("feed").orderBy("file_no")))
-    return keys.join(files, ["feed", "file_no"])
+    return files.join(keys, ["feed", "file_no"], "left")
 
 
 def _steps(schemas: DataFrame) -> DataFrame:
     """Keys of each file beside those of the file before it: ``old_type``/``type`` with ``here`` and ``before``; the first file of a feed is left out."""
-    now = schemas.select("feed", "seq", "file_no", "key", "type", "present", F.lit(True).alias("here"))
-    then = schemas.select("feed", (F.col("seq") + 1).alias("seq"), "key", F.col("type").alias("old_type"), F.col("present").alias("old_present"), F.lit(True).alias("before"))
+    keys = schemas.filter("key is not null")
+    now = keys.select("feed", "seq", "file_no", "key", "type", "present", F.lit(True).alias("here"))
+    then = keys.select("feed", (F.col("seq") + 1).alias("seq"), "key", F.col("type").alias("old_type"), F.col("present").alias("old_present"), F.lit(True).alias("before"))
     files = schemas.select("feed", "seq", "file_no").distinct().withColumnRenamed("file_no", "at")
     both = now.join(then, ["feed", "seq", "key"], "full").join(files, ["feed", "seq"])  # a key that went has no file of its own
     return both.filter("seq > 1").withColumn("file_no", F.col("at")).drop("at")
@@ -174,7 +180,7 @@ def schema_changes(lines: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     Kinds are added, removed, renamed and retyped (a field renamed and retyped at
     once gives both).  Lines that aren't whole JSON objects, and lines without
     feed or file number, are left out; files without a whole line are passed
-    over.  Keys are told apart by case.  The order of arrival and of lines
+    over, and in a file of lines without keys (``{}``) every field is removed.  Keys are told apart by case.  The order of arrival and of lines
     doesn't matter, repeated lines count once.  An empty table gives no rows.
     """
     values = cut(tagged_values(lines))
@@ -254,6 +260,8 @@ def consistent_table(lines: DataFrame, like: Likeness = Likeness()) -> tuple[Dat
     of its values anywhere) and for each other type that occurs a branch
     ``{field}__{type}`` with the value as it came (JSON text).  Names of columns
     that differ only by case get a number.  Lines that aren't whole are left out.
+    Every whole line has a row of its own, also without keys and where line
+    numbers are null or repeated; lines equal in number and text are one.
     """
     values = cut(tagged_values(lines))
     schemas = cut(file_schemas(values))
@@ -263,11 +271,12 @@ def consistent_table(lines: DataFrame, like: Likeness = Likeness()) -> tuple[Dat
     placed = values.join(files, ["feed", "file_no"])
     held = spans.select(F.col("feed").alias("f"), F.col("key").alias("k"), "since", "until", "field")
     on = (F.col("feed") == F.col("f")) & (F.col("key") == F.col("k")) & (F.col("seq") >= F.col("since")) & (F.col("seq") < F.col("until"))
-    placed = cut(placed.join(held, on, "left").select("feed", "file_no", "line_no", F.coalesce("field", "key").alias("field"), "type", "value"))
+    placed = cut(placed.join(held, on, "left").select(*LINE, F.coalesce("field", "key").alias("field"), "type", "value"))
     kinds: dict[str, dict[str, int]] = {}
     for r in placed.groupBy("field", "type").agg(F.count("*").alias("n")).collect():  # fields x types
         kinds.setdefault(r["field"], {})[r["type"]] = r["n"]
-    columns, seen = [], {"feed", "file_no", "line_no"}
+    kinds.pop(None, None)  # of lines without keys
+    columns, seen = [], set(LINE)
 
     def name(wanted: str) -> str:
         out, k = wanted, 2
@@ -282,5 +291,5 @@ def consistent_table(lines: DataFrame, like: Likeness = Likeness()) -> tuple[Dat
         mine = F.col("field") == field
         columns.append(F.first(F.when(mine, to_canonical(F.col("type"), F.col("value"), canonical)), ignorenulls=True).alias(name(field)))
         columns += [F.max(F.when(mine & (F.col("type") == t), F.col("value"))).alias(name(f"{field}__{t}")) for t in sorted(types) if t != canonical]
-    table = placed.groupBy("feed", "file_no", "line_no").agg(*(columns or [F.count("*").alias("values")]))
+    table = placed.groupBy(*LINE).agg(*(columns or [F.count("field").alias("values")])).drop("__line")
     return table, changes

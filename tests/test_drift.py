@@ -64,3 +64,18 @@ def test_one_table(spark):
     assert got[3, 0]["advisor__array"] == f'["{NAMES[0]}"]' and got[1, 0]["advisor__array"] is None
     assert report.filter("change_kind = 'renamed'").count() == 1
     assert consistent_table(spark.createDataFrame([], LINES))[0].count() == 0
+
+
+def test_a_row_for_every_whole_line(spark):
+    data = [("f", 1, "x", 1, None, x) for x in ('{"a": 1, "b": "p"}', '{"a": 2}', '{"a": 2}', "{}")]
+    data += [("f", 2, "x", None, None, x) for x in ('{"a": 3, "b": "q"}', '{"a": 4}', "{", "{}")] + [("f", 3, "x", 1, None, "{}")]
+    table, report = consistent_table(spark.createDataFrame(data, LINES))
+    want = [(1, 1, 1, "p"), (1, 1, 2, None), (1, 1, None, None), (2, None, 3, "q"), (2, None, 4, None), (2, None, None, None), (3, 1, None, None)]
+    assert rows(table.select("file_no", "line_no", "a", "b")) == sorted(want, key=repr)
+    assert table.columns == ["feed", "file_no", "line_no", "a", "b"] and changes(report) == [(3, "removed", "a"), (3, "removed", "b")]
+    assert consistent_table(spark.createDataFrame(data[-1:], LINES))[0].count() == 1
+
+
+def test_a_file_of_lines_without_keys_is_compared(spark):
+    got = changes(schema_changes(lines(spark, {("f", 1): [{"a": 1}], ("f", 2): [{}], ("f", 3): [{"a": 1}]})))
+    assert got == [(2, "removed", "a"), (3, "added", "a")]
