@@ -231,8 +231,8 @@ def segment_join(keys: DataFrame, edits: int) -> DataFrame:
     """Pairs of different ``key`` of one ``grp`` within ``edits`` edits: ``grp``, ``a``, ``b`` (b no longer than a), ``distance``.
 
     ``keys`` has distinct (grp, key).  Keys of ``edits`` characters or fewer meet
-    nothing.  The pigeonhole principle makes the join complete; the banded edit
-    distance makes it exact.
+    nothing here, but in ``close_keys``.  The pigeonhole principle makes the join
+    complete for the others; the banded edit distance makes it exact.
     """
     keys = keys.select("grp", "key", F.length("key").alias("len")).filter(F.col("len") > edits)
     index = keys.select("grp", "key", "len", F.explode(_segments(F.col("len"), edits)).alias("s")).select("grp", F.col("key").alias("b"), F.col("len").alias("size_b"), F.col("s.i").alias("i"), F.substring("key", F.col("s.at"), F.col("s.size")).alias("seg"))
@@ -250,6 +250,26 @@ def segment_join(keys: DataFrame, edits: int) -> DataFrame:
     return met.withColumn("distance", F.levenshtein("a", "b", edits)).filter("distance >= 0")
 
 
+def _short_meetings(keys: DataFrame, edits: int) -> DataFrame:
+    """``grp``, ``a``, ``b``: pairs of which ``b`` has ``edits`` characters or fewer and that share what up to ``edits`` deletions leave of each."""
+    left = keys.select("grp", "key", F.col("key").alias("left")).filter(F.length("key") <= 2 * edits)
+    step = left
+    for _ in range(edits):
+        drop = F.transform(F.sequence(F.lit(1), F.length("left")), lambda i: F.concat(F.substring("left", F.lit(1), i - 1), F.substring("left", i + 1, F.length("left"))))
+        step = step.filter("left <> ''").select("grp", "key", F.explode(drop).alias("left")).distinct()
+        left = left.unionByName(step)
+    left = left.distinct()
+    short = left.filter(F.length("key") <= edits).withColumnRenamed("key", "b")
+    met = left.withColumnRenamed("key", "a").join(short, ["grp", "left"])
+    return met.filter((F.length("a") > F.length("b")) | (F.length("a") == F.length("b")) & (F.col("a") > F.col("b"))).select("grp", "a", "b").distinct()
+
+
+def close_keys(keys: DataFrame, edits: int) -> DataFrame:
+    """All pairs of different ``key`` of one ``grp`` within ``edits`` edits, short keys too; columns as of ``segment_join``."""
+    short = _short_meetings(keys, edits).withColumn("distance", F.levenshtein("a", "b", edits)).filter("distance >= 0")
+    return segment_join(keys, edits).unionByName(short)
+
+
 def settle_spellings(keys: DataFrame, edits: int, allowed: Column) -> DataFrame:
     """``grp``, ``key``, ``root``: every key with the spelling it leads to in the end.
 
@@ -258,7 +278,7 @@ def settle_spellings(keys: DataFrame, edits: int, allowed: Column) -> DataFrame:
     as frequent (the greater) only if none is more frequent; ``allowed`` (over a, b, distance) may narrow the links.
     """
     keys = cut(keys.groupBy("grp", "key").agg(F.sum("n").alias("n")))
-    pairs = segment_join(keys, edits).filter(allowed)
+    pairs = close_keys(keys, edits).filter(allowed)
     rank = keys.select("grp", F.col("key").alias("k"), F.struct("n", "key").alias("rank"))
     ranked = pairs.join(rank.withColumnsRenamed({"k": "a", "rank": "ra"}), ["grp", "a"]).join(rank.withColumnsRenamed({"k": "b", "rank": "rb"}), ["grp", "b"])
     up = ranked.select("grp", F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("key"), F.greatest("ra", "rb").alias("to"), (F.col("ra.n") != F.col("rb.n")).alias("more"), "distance")
@@ -307,7 +327,7 @@ def name_entities(names: DataFrame) -> DataFrame:
     parts = cut(parts.withColumn("root", F.coalesce("further", "root")).drop("within", "further"))
 
     bodies = parts.filter("kind = 'body'")
-    same = settle_spellings(bodies.select(F.col("root").alias("grp"), F.col("rest").alias("key"), "n"), 3, F.lit(True))
+    same = settle_spellings(bodies.select(F.col("root").alias("grp"), F.col("rest").alias("key"), "n"), 3, F.least(F.length("a"), F.length("b")) > 3)  # three slips in three letters say nothing
     bodies = bodies.join(same.select(F.col("grp").alias("root"), F.col("key").alias("rest"), F.col("root").alias("body")), ["root", "rest"]).select("name", "kind", F.xxhash64("kind", "root", "body").alias("entity"))
 
     people = parts.filter("kind = 'person'").withColumn("grp", F.concat_ws("/", "root", "generation"))

@@ -29,6 +29,16 @@ def test_segment_join_misses_nothing(spark, edits):
     assert got == want
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_close_keys_finds_short_keys(spark, edits):
+    rnd = random.Random(edits)
+    words = {"".join(rnd.choice("abé") for _ in range(rnd.randrange(0, 8))) for _ in range(120)} | {"", "zoe", "zoee", "leo", "loe"}
+    df = spark.createDataFrame([("g", w) for w in words] + [("h", "a")], "grp string, key string")
+    want = {((a, b) if (len(a), a) > (len(b), b) else (b, a), distance(a, b)) for a in words for b in words if a < b and distance(a, b) <= edits}
+    found = names.close_keys(df, edits).collect()
+    assert {((r["a"], r["b"]), r["distance"]) for r in found} == want and len(found) == len(want)
+
+
 def test_spellings_lead_to_the_most_frequent(spark):
     df = spark.createDataFrame([("g", "marutani", 9), ("g", "marutnai", 1), ("g", "marutnaii", 1), ("g", "other", 5)], "grp string, key string, n long")
     got = {r["key"]: r["root"] for r in names.settle_spellings(df, 2, F.lit(True)).collect()}
