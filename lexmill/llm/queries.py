@@ -182,4 +182,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = stuffing.stuffed_pages(table(spark, sf_dir, "documents"))
-    return pages.withColumn("replicated_share", F.round("replicated_share", 6))
+    return pages.withColumns({c: F.round(c, 6) for c in ("density", "replicated_share", "evidence")})

@@ -121,6 +121,46 @@ def test_stuffed_pages(spark):
     assert rows(stuffing.stuffed_pages(df.limit(0))) == []
 
 
+#: A page half list: each word twice or three times, so density alone doesn't tell.
+HALF = "oak lamp, oak kettle, elm lamp, elm kettle, oak drill, elm drill, fir lamp, ash stool, oak bench, fir kettle, yew chest, elm shelf"
+
+
+def test_hosts_decide_about_pages_that_are_half_a_list(spark):
+    lim = stuffing.Limits()
+    other = "buy lamp, oak kettle, oak table, elm table, fir table, ash table, yew table, pine drill, pine stool, pine bench, pine chest, pine shelf"
+    text = HALF + ", oak lamp, elm lamp, oak kettle, elm kettle, fir drill, fir kettle, oak drill, elm drill"
+    low = stuffing.look(text, lim)[1]
+    assert lim.evidence - lim.replicated_weight <= low < lim.evidence
+    schema = "doc_id long, repo string, text string"
+    alone = spark.createDataFrame([(1, "a", text), (2, "a", other)], schema)
+    apart = spark.createDataFrame([(1, "a", text), (2, "b", other)], schema)
+    found = lambda df, lim=lim: {r["doc_id"] for r in stuffing.stuffed_pages(df, lim).collect()}
+    assert 1 not in found(alone) and 1 in found(apart)
+    assert 1 not in found(apart, stuffing.Limits(hosts=10**9))  # hosts switched off
+    pages = {r["doc_id"]: r for r in stuffing.listed_pages(apart).collect()}
+    assert pages[1]["replicated_share"] > 0.8 and {r["doc_id"]: r for r in stuffing.listed_pages(alone).collect()}[1]["replicated_share"] == 0
+
+
+def test_replicated_share_against_brute_force(spark):
+    rnd = random.Random(4)
+    words = "oak elm fir ash yew lamp kettle drill stool bench chest shelf".split()
+    data = [(i, f"r{i % 4}" if i % 5 else None, ", ".join(f"{rnd.choice(words)} {rnd.choice(words)}" + str(rnd.choice(["", "", f" w{chr(97 + i)}x"])) for _ in range(rnd.randrange(10, 30)))) for i in range(20)]
+    lim = stuffing.Limits()
+    seen = {i: (r or "", stuffing.look(t, lim)) for i, r, t in data}
+    hosts = {}
+    for r, s in seen.values():
+        for a, b, _ in s[2] if s else []:
+            hosts.setdefault((1, a), set()).add(r)
+            hosts.setdefault((2, b), set()).add(r)
+    want = {}
+    for i, (_, s) in seen.items():
+        if s:
+            n = sum(c for _, _, c in s[2])
+            want[i] = round(sum(c for a, b, c in s[2] if max(len(hosts[1, a]), len(hosts[2, b])) >= 2) / n, 9)
+    got = stuffing.listed_pages(spark.createDataFrame(data, "doc_id long, repo string, text string"))
+    assert {r["doc_id"]: round(r["replicated_share"], 9) for r in got.collect()} == want
+
+
 def test_very_long_texts_end_soon():
     lim = stuffing.Limits()
     for text in ("x" * 200_000, "<" * 50_000, "a." * 50_000, "word " * 40_000, "A1" * 50_000):
