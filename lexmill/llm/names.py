@@ -1,17 +1,26 @@
 """Problem 2: variant spellings of names of people and bodies.
 
 Names are brought to comparable parts (surname, given names, generation; place
-and body), and parts that differ by typing errors are linked by a pigeonhole
+and body), and words that differ by typing errors are linked by a pigeonhole
 segment join: a string within k edits of another shares at least one of its k+1
 segments with it, shifted by k at most.  So each key is cut into k+1 segments
 that form an inverted index, every other key looks up its shifted substrings,
 and what meets is verified by a banded edit distance.
 
-Links are resolved per part: first surnames and places, then given names (or
-what a body does) among those of one surname (or place).  A misspelt key goes to
-the nearest more frequent key it is linked to, and on from there.  Initials, nicknames, left-out middle
-names and inverted order are settled on the parts, by joins on keys; nowhere
-are all names of a surname compared with each other.
+One join serves all parts: surnames, given names, places, and the words of
+bodies are one vocabulary, grouped by role and first letter.  Nearness alone
+links nothing; a link needs support from how its two words occur:
+
+* a surname goes to one that occurs with the same initials, and not if it is
+  itself found with several;
+* a given name, or a word of a body, goes to one that is far more frequent, so
+  two names of their own (Eric, Erica) stay apart, as do two fields (Law, Art);
+* a body as a whole goes to one of its place that it differs from by glued or
+  split words, or by a slip in a short word.
+
+A misspelt word goes to the nearest of the words that support it.  Initials,
+nicknames, left-out middle names and inverted order are settled on the parts, by
+joins on keys; nowhere are all names of a surname compared with each other.
 """
 
 from __future__ import annotations
@@ -19,13 +28,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexmill.session import cut
+from lexmill.session import cut, shuffle_width
 
 PLACEHOLDERS = ["", "Anonymous", "Unknown"]
 
@@ -33,7 +43,7 @@ PLACEHOLDERS = ["", "Anonymous", "Unknown"]
 TITLES = set("dr prof professor mr mrs ms miss sir lord lady rev reverend hon".split())
 PARTICLES = set("de den der del della di da du dos la le van von ten ter te zu zum af av".split())
 GENERATIONS = {"jr": "jr", "junior": "jr", "sr": "sr", "senior": "sr", "ii": "ii", "iii": "iii", "iv": "iv"}
-LINKS = set("of for and the in at to fo fro ofr adn nad nd ad an o f".split())
+LINKS = set("of for and the in at to".split())
 BODIES = {
     "university": "univ", "institute": "inst", "institution": "instn", "society": "soc", "department": "dept", "association": "assoc", "laboratory": "lab",
     "company": "co", "committee": "cttee", "college": "coll", "academy": "acad", "museum": "mus", "library": "lib", "bureau": "bur", "council": "cncl", "commission": "comm",
@@ -92,6 +102,21 @@ def _near(a: str, b: str, most: int) -> bool:
     return row[-1] <= most
 
 
+@lru_cache(maxsize=1 << 16)
+def is_link(word: str) -> bool:
+    """Whether a word of a body's name is a link word, or one with a letter left out, doubled, or swapped with its neighbour."""
+    if word in LINKS:
+        return True
+    if len(word) > 4:
+        return False
+    for w in LINKS:
+        slips = {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[: i + 1] + w[i:] for i in range(len(w))} | {w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(len(w) - 1)}
+        if word in slips:
+            return True
+    return False
+
+
+@lru_cache(maxsize=1 << 16)
 def body_word(word: str) -> str | None:
     """The kind of body a word means, short forms and typing errors included."""
     if word in BODIES:
@@ -103,11 +128,20 @@ def body_word(word: str) -> str | None:
     return None
 
 
+#: Nickname -> the names it may stand for; and the given names that are no slip of another.
+_MEANT = {nick: full.split(" ") for nick, full in NICKNAMES.items()}
+_KNOWN = sorted({*_MEANT, *(name for full in _MEANT.values() for name in full)})
+
+
+def _meant() -> Column:
+    return F.create_map(*[x for nick, full in _MEANT.items() for x in (F.lit(nick), F.split(F.lit(" ".join(full)), " "))])
+
+
 def parse_name(name: str) -> dict:
     """Parts of one name.
 
-    A body has ``kind`` 'body', ``key`` (its place) and ``rest`` (what it is and
-    does).  A person has ``key`` (surname), ``given``, ``middle`` (an initial)
+    A body has ``kind`` 'body', ``key`` (its place) and ``rest`` (the words of what
+    it is and does).  A person has ``key`` (surname), ``given``, ``middle`` (an initial)
     and ``generation``; where nothing shows which end the surname is at, ``key``
     is null and ``first`` and ``last`` are its two ends.
     """
@@ -115,7 +149,7 @@ def parse_name(name: str) -> dict:
     text = plain(_GLUED.sub(r"\1 ", name)).replace("&", " and ")
     words = _words(text)
     kinds = [body_word(w) for w in words]
-    if len(words) >= 3 and any(kinds) and any(w in LINKS for w in words) or "(" in text and any(kinds):
+    if len(words) >= 3 and any(kinds) and any(map(is_link, words)) or "(" in text and any(kinds):
         out["kind"] = "body"
         if words[0] == "the":
             text = re.sub(r"^\W*the\b", "", text)
@@ -125,8 +159,7 @@ def parse_name(name: str) -> dict:
             place, rest = "".join(_words(tail)), _words(head)
         else:
             place, rest = words[0], words[1:]
-        shown = [body_word(w) or w for w in rest if w not in LINKS and not (len(w) <= 4 and _near(w, "and", 1))]
-        out["key"], out["rest"] = place, "".join(shown)
+        out["key"], out["rest"] = place, " ".join(body_word(w) or w for w in rest if not is_link(w))
         return out
     out["kind"] = "person"
     generation = ""
@@ -186,45 +219,74 @@ _PARTS = ["kind", "key", "rest", "given", "middle", "generation", "first", "last
 
 
 def parsed_names(names: DataFrame) -> DataFrame:
-    """``name``, ``n`` and the parts of every distinct name."""
+    """``name`` and the parts of every row of ``names``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [parse_name(x) for x in batch.column("name").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("n"), *(pa.array([r[p] for r in rows], pa.string()) for p in _PARTS)], names=["name", "n", *_PARTS])
+            yield pa.RecordBatch.from_arrays([batch.column("name"), *(pa.array([r[p] for r in rows], pa.string()) for p in _PARTS)], names=["name", *_PARTS])
 
-    return names.select("name", "n").mapInArrow(run, "name string, n long, " + ", ".join(f"{p} string" for p in _PARTS))
+    return names.select("name").mapInArrow(run, "name string, " + ", ".join(f"{p} string" for p in _PARTS))
 
 
 def settle_order(parsed: DataFrame) -> DataFrame:
-    """Surname and given name of those whose order isn't shown, by how their ends occur elsewhere: ``name``, ``n``, ``kind``, ``key``, ``rest``, ``given``, ``middle``, ``generation``."""
-    people = parsed.filter("kind = 'person'")
-    shown = people.filter("key is not null and given is not null")
-    roles = shown.select(F.explode(F.array(F.struct(F.col("key").alias("word"), F.lit(1).alias("s"), F.lit(0).alias("g")), F.struct(F.col("given").alias("word"), F.lit(0).alias("s"), F.lit(1).alias("g")))).alias("r"))
-    roles = roles.groupBy("r.word").agg(F.sum("r.s").alias("s"), F.sum("r.g").alias("g"))
-    role = F.when(F.col("s") > F.col("g"), 1).when(F.col("g") > F.col("s"), -1).otherwise(0)
-    roles = roles.select("word", role.alias("role"))
-    nick = F.lit(0)
-    is_nick = lambda c: F.col(c).isin(list(NICKNAMES))
-    unclear = people.filter("first is not null")
-    unclear = unclear.join(roles.select(F.col("word").alias("first"), F.col("role").alias("r_first")), "first", "left").join(roles.select(F.col("word").alias("last"), F.col("role").alias("r_last")), "last", "left")
-    r_first = F.when(is_nick("first"), -1).otherwise(F.coalesce("r_first", nick))
-    r_last = F.when(is_nick("last"), -1).otherwise(F.coalesce("r_last", nick))
-    front = r_first > r_last
+    """Surname and given name of those whose order isn't shown, by how their ends occur elsewhere: ``name``, ``kind``, ``key``, ``rest``, ``given``, ``middle``, ``generation``."""
+    shown = parsed.filter("kind = 'person' and key is not null and given is not null")
+    roles = shown.select(F.inline(F.array(F.struct(F.col("key").alias("word"), F.lit(1).alias("role")), F.struct(F.col("given").alias("word"), F.lit(-1).alias("role")))))
+    roles = roles.groupBy("word").agg(F.signum(F.sum("role")).alias("role"))
+    unclear = parsed.filter("kind = 'person' and first is not null")
+    ends = unclear.select("name", F.inline(F.array(F.struct(F.lit(1).alias("side"), F.col("first").alias("word")), F.struct(F.lit(-1).alias("side"), F.col("last").alias("word")))))
+    role = F.when(F.col("word").isin(list(_MEANT)), -1.0).otherwise(F.coalesce("role", F.lit(0.0)))
+    sides = ends.join(roles, "word", "left").groupBy("name").agg(F.sum(F.col("side") * role).alias("front"))
+    front = F.col("front") > 0
     pick = lambda a, b: F.when(front, F.col(a)).otherwise(F.col(b))
-    settled = unclear.select("name", "n", "kind", pick("first", "last").alias("key"), "rest", pick("given_if_first", "given_if_last").alias("given"), pick("middle_if_first", "middle_if_last").alias("middle"), "generation")
-    rest = parsed.filter("first is null").select("name", "n", "kind", "key", "rest", "given", "middle", "generation")
+    settled = unclear.join(sides, "name").select("name", "kind", pick("first", "last").alias("key"), "rest", pick("given_if_first", "given_if_last").alias("given"), pick("middle_if_first", "middle_if_last").alias("middle"), "generation")
+    rest = parsed.filter("first is null").select("name", "kind", "key", "rest", "given", "middle", "generation")
     return rest.unionByName(settled).filter("key is not null")
 
 
 # -- pigeonhole segment join ---------------------------------------------------
 
 
-def _segments(length: Column, edits: int) -> Column:
+def _segments(length: Column, edits: Column) -> Column:
     """Start (from 1) and size of the edits+1 even segments of a string of a length."""
     base, extra = F.floor(length / (edits + 1)).cast("int"), length % (edits + 1)
     short = edits + 1 - extra  # the last `extra` segments have one more
-    return F.transform(F.sequence(F.lit(0), F.lit(edits)), lambda i: F.struct(i.alias("i"), (i * base + F.greatest(i - short, F.lit(0)) + 1).alias("at"), (base + F.when(i >= short, 1).otherwise(0)).alias("size")))
+    return F.transform(F.sequence(F.lit(0), edits), lambda i: F.struct(i.alias("i"), (i * base + F.greatest(i - short, F.lit(0)) + 1).alias("at"), (base + F.when(i >= short, 1).otherwise(0)).alias("size")))
+
+
+def _met_keys(keys: DataFrame, classes: list[tuple[int, int]]) -> DataFrame:
+    """Pairs of different keys of one ``grp`` within the edits of the shorter one: ``grp``, ``a``, ``b`` (b no longer than a), ``ia``, ``ib``, ``distance``; a pair comes once for every segment it shares.
+
+    ``keys`` has distinct (grp, key) and ``info``, which comes out on both sides.
+    ``classes`` has (least length, edits), lengths rising; shorter keys meet nothing.
+    """
+    most = max(k for _, k in classes)
+    least = min(n for n, _ in classes)
+
+    def edits(n: Column) -> Column:
+        e = F.lit(-1)
+        for at, k in classes:
+            e = F.when(n >= at, k).otherwise(e)
+        return e
+
+    keys = keys.select("grp", "key", "info", F.length("key").alias("len")).filter(F.col("len") >= least)
+    k = edits(F.col("len"))
+    index = keys.select("grp", F.col("key").alias("b"), F.col("info").alias("ib"), F.col("len").alias("size_b"), F.explode(_segments(F.col("len"), k)).alias("s"))
+    index = index.select("grp", "b", "ib", "size_b", F.col("s.i").alias("i"), F.substring("b", F.col("s.at"), F.col("s.size")).alias("seg"))
+    n = F.col("len")
+    sizes = F.filter(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda d: n - d), lambda m: n - m <= edits(m))
+    looked = keys.select("grp", F.col("key").alias("a"), F.col("info").alias("ia"), "len", F.explode(sizes).alias("size_b"))
+    looked = looked.select("*", F.explode(_segments(F.col("size_b"), edits(F.col("size_b")))).alias("s"))
+    gap, k = F.col("len") - F.col("size_b"), edits(F.col("size_b"))
+    low = F.greatest(F.lit(1), F.col("s.at") - F.floor((k - gap) / 2).cast("int"))
+    high = F.least(F.col("len") - F.col("s.size") + 1, F.col("s.at") + F.floor((k + gap) / 2).cast("int"))
+    looked = looked.withColumns({"low": low, "high": high}).filter("low <= high")
+    shifted = F.array_distinct(F.transform(F.sequence(F.col("low"), F.col("high")), lambda p: F.substring(F.col("a"), p, F.col("s.size"))))
+    looked = looked.select("grp", "a", "ia", "size_b", F.col("s.i").alias("i"), F.explode(shifted).alias("seg"))
+    met = looked.join(index, ["grp", "size_b", "i", "seg"]).filter((F.length("a") > F.length("b")) | (F.col("a") > F.col("b")))
+    near = F.levenshtein("a", "b", most)
+    return met.select("grp", "a", "b", "ia", "ib", near.alias("distance")).filter((F.col("distance") >= 0) & (F.col("distance") <= edits(F.length("b"))))
 
 
 def segment_join(keys: DataFrame, edits: int) -> DataFrame:
@@ -234,20 +296,8 @@ def segment_join(keys: DataFrame, edits: int) -> DataFrame:
     nothing here, but in ``close_keys``.  The pigeonhole principle makes the join
     complete for the others; the banded edit distance makes it exact.
     """
-    keys = keys.select("grp", "key", F.length("key").alias("len")).filter(F.col("len") > edits)
-    index = keys.select("grp", "key", "len", F.explode(_segments(F.col("len"), edits)).alias("s")).select("grp", F.col("key").alias("b"), F.col("len").alias("size_b"), F.col("s.i").alias("i"), F.substring("key", F.col("s.at"), F.col("s.size")).alias("seg"))
-    n = F.col("len")
-    lengths = F.filter(F.transform(F.sequence(F.lit(0), F.lit(edits)), lambda d: n - d), lambda m: m > edits)
-    looked = keys.select("grp", F.col("key").alias("a"), "len", F.explode(lengths).alias("size_b"))
-    looked = looked.select("grp", "a", "len", "size_b", F.explode(_segments(F.col("size_b"), edits)).alias("s"))
-    gap = F.col("len") - F.col("size_b")
-    low = F.greatest(F.lit(1), F.col("s.at") - F.floor((edits - gap) / 2).cast("int"))
-    high = F.least(F.col("len") - F.col("s.size") + 1, F.col("s.at") + F.floor((edits + gap) / 2).cast("int"))
-    looked = looked.filter(low <= high).select("grp", "a", "size_b", F.col("s.i").alias("i"), F.col("s.size").alias("w"), F.explode(F.sequence(low, high)).alias("p"))
-    looked = looked.select("grp", "a", "size_b", "i", F.substring("a", F.col("p"), F.col("w")).alias("seg")).distinct()
-    met = looked.join(index, ["grp", "size_b", "i", "seg"]).filter((F.length("a") > F.length("b")) | (F.col("a") > F.col("b")))
-    met = met.select("grp", "a", "b").distinct()
-    return met.withColumn("distance", F.levenshtein("a", "b", edits)).filter("distance >= 0")
+    met = _met_keys(keys.select("grp", "key", F.lit(0).alias("info")), [(edits + 1, edits)])
+    return met.select("grp", "a", "b", "distance").distinct()
 
 
 def _short_meetings(keys: DataFrame, edits: int) -> DataFrame:
@@ -294,16 +344,100 @@ def settle_spellings(keys: DataFrame, edits: int, allowed: Column) -> DataFrame:
     return keys.select("grp", "key").join(up, ["grp", "key"], "left").select("grp", "key", F.coalesce("root", "key").alias("root"))
 
 
-def _edits_by_length() -> Column:
-    """One edit for short keys, two for others, none for very short ones."""
-    shorter = F.least(F.length("a"), F.length("b"))
-    return F.when(shorter < 4, F.col("distance") <= 0).when(shorter < 6, F.col("distance") <= 1).otherwise(F.col("distance") <= 2)
+# -- support of links --------------------------------------------------------------
 
+#: Edits by the length of the shorter word; segments have two letters at least (three-letter words meet among words of bodies only, for "and").
+CLASSES = [(3, 1), (4, 1), (6, 2), (8, 3)]
+#: How much more often the right spelling occurs than one that is itself found more than FEW times (and where both are SHORT), and than one that isn't.
+FAR_MORE, FAR_MORE_SHORT, MORE, FEW, SHORT = 20, 200, 2, 2, 4
+#: A surname found with so many initials is one of its own.
+OWN_INITIALS = 3
 
-def _swapped(least: int) -> Column:
+def _options(given: Column) -> Column:
+    """The names a given name may stand for: itself, or those of a nickname."""
+    return F.coalesce(F.element_at(_meant(), given), F.array(given))
+
+
+def vocabulary(parts: DataFrame) -> DataFrame:
+    """``grp`` (role and, but for words of bodies, first letter; surnames also by the second), ``key``, ``info`` (``n``: names it occurs in, ``initials`` beside a surname) of the words of all names.
+
+    Roles are s (surname), g (given name), p (place), b (word of a body; link
+    words count once for every body) and r (all words of a body of one place).
+    """
+    word = lambda role, key, initials: F.struct(F.lit(role).alias("role"), key.alias("key"), initials.alias("initials"))
+    none = F.array().cast("array<string>")
+    given = F.col("given")
+    initials = F.when(given.isNotNull(), F.transform(_options(given), lambda x: F.substring(x, 1, 1))).otherwise(none)
+    of_person = F.when(F.length(given) > 1, F.array(word("s", F.col("key"), initials), word("g", given, none))).otherwise(F.array(word("s", F.col("key"), initials)))
+    of_body = F.concat(
+        F.array(word("p", F.col("key"), none), F.struct(F.concat(F.lit("r/"), F.col("key")).alias("role"), F.col("rest").alias("key"), none.alias("initials"))),
+        F.transform(F.array_distinct(F.concat(F.split("rest", " "), F.array(*map(F.lit, sorted(LINKS))))), lambda w: word("b", w, none)),
+    )
+    rows = parts.select(F.inline(F.when(F.col("kind") == "person", of_person).otherwise(of_body))).filter("key <> ''")
+    rows = rows.filter((F.col("role") == "b") | (F.length("key") > 3))
+    first, second = F.substring("key", 1, 1), F.substring("key", 2, 1)  # a surname after a particle may lose or swap its first letter
+    letters = F.when(F.col("role") == "b", F.array(F.lit(""))).when(F.col("role") == "s", F.array_distinct(F.array(first, second))).otherwise(F.array(first))
+    rows = rows.select("key", "initials", F.col("role").alias("r"), F.explode(letters).alias("letter")).select(F.concat_ws("/", "r", "letter").alias("grp"), "key", F.posexplode_outer("initials").alias("at", "initial"))
+    names = F.count(F.when(F.coalesce("at", F.lit(0)) == 0, 1))  # a name has a row for each of its initials
+    return rows.groupBy("grp", "key").agg(F.struct(names.alias("n"), F.collect_set("initial").alias("initials")).alias("info"))  # initials: no more than letters
+
+
+def _swapped() -> Column:
     """Two slips of which one swaps neighbours: three edits, but nearly the same letters."""
     letters = lambda c: F.array_join(F.array_sort(F.split(F.col(c), "")), "")
-    return (F.col("distance") == 3) & (F.least(F.length("a"), F.length("b")) >= least) & (F.levenshtein(letters("a"), letters("b")) <= 2)
+    return F.levenshtein(letters("a"), letters("b")) <= 2
+
+
+def supported_links(vocab: DataFrame) -> DataFrame:
+    """``role``, ``key``, ``target``, ``distance``, ``n``: the links that the occurrences of both words support (see the module's text)."""
+    met = _met_keys(vocab, CLASSES).filter((F.col("distance") < 3) | _swapped())
+    words = lambda c: F.size(F.split(c, " "))  # noqa: E731  # of bodies as often found, the one whose words aren't glued
+    up = F.struct(F.col("ia.n"), words("a").alias("w"), F.col("a").alias("k")) < F.struct(F.col("ib.n"), words("b").alias("w"), F.col("b").alias("k"))
+    side = lambda first, second: F.when(up, F.col(first)).otherwise(F.col(second))
+    met = met.select(F.regexp_extract("grp", "^(.*)/[^/]*$", 1).alias("role"), side("a", "b").alias("key"), side("b", "a").alias("target"), side("ia", "ib").alias("low"), side("ib", "ia").alias("high"), "distance")
+    n, m = F.col("low.n"), F.col("high.n")
+    short = F.greatest(F.length("key"), F.length("target")) <= SHORT
+    far = (n * F.when(short, FAR_MORE_SHORT).otherwise(FAR_MORE) <= m) | ((n <= FEW) & (n * MORE <= m))
+    surname = (F.arrays_overlap("low.initials", "high.initials") | (F.size("low.initials") == 0) | (F.size("high.initials") == 0)) & ((F.size("low.initials") < OWN_INITIALS) | (n * FAR_MORE <= m))
+    begins = lambda c, at: F.substring(c, at, 1)
+    shifted = ((begins("key", 2) == begins("target", 1)) | (begins("key", 1) == begins("target", 2))) & (F.col("distance") <= 2) & (n <= FEW) & (n * MORE <= m)
+    surname = surname & ((begins("key", 1) == begins("target", 1)) | shifted)
+    spelt_out = lambda c: F.regexp_replace(c, "([aou])e(?=[^aeiouy])", "$1")  # noqa: E731  # Juergen, Jürgen
+    far = far | (F.col("role") == "g") & (spelt_out("key") == spelt_out("target"))
+    ended = F.startswith("key", "target") | F.startswith("target", "key")  # Daniel, Danielle
+    x, y = F.split("key", " "), F.split("target", " ")
+    pairs = F.when(F.size(x) == F.size(y), F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p: p["x"] != p["y"]))
+    role = F.col("role")
+    support = F.when(role == "s", surname).when(role == "g", far & ~ended & ~F.col("key").isin(_KNOWN)).when(role == "b", far).otherwise(F.lit(True))
+    met = cut(met.withColumn("pairs", F.when(F.startswith(role, F.lit("r/")), pairs)).filter(support).select("role", "key", "target", "distance", "pairs", m.alias("n"), (n != m).alias("more"), (n * MORE <= m).alias("well")))
+    whole = F.startswith(role, F.lit("r/"))
+    glued = met.filter(whole & F.col("pairs").isNull() & (F.col("distance") <= 2))
+    # a slip within words: each is one that the words' own occurrences support, or a letter more or less, or a swap, in a short word
+    slips = met.filter(whole & F.col("pairs").isNotNull()).select("*", F.explode("pairs").alias("p")).select("*", "p.x", "p.y")
+    words = met.filter("role = 'b'").select(F.col("key").alias("x"), F.col("target").alias("y"), F.lit(True).alias("known")).distinct()
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    short_slip = (F.least(F.length("x"), F.length("y")) < 6) & ((letters("x") == letters("y")) | F.col("well") & (F.abs(F.length("x") - F.length("y")) == 1) & (F.levenshtein("x", "y") == 1))
+    slips = slips.join(words, ["x", "y"], "left").groupBy("role", "key", "target", "distance", "n", "more").agg(F.bool_and(F.coalesce("known", F.lit(False)) | short_slip).alias("all"))
+    names = ["role", "key", "target", "distance", "n", "more"]
+    return met.filter(~whole).select(names).unionByName(glued.select(names)).unionByName(slips.filter("all").select(names))
+
+
+def roots(links: DataFrame) -> DataFrame:
+    """``role``, ``key``, ``root``: where a misspelt key leads: to the nearest target, of equally near ones to the most frequent, and to where that one leads.
+
+    It leads to an equally frequent one only if none is more frequent; among
+    equally frequent keys the one with most links is the spelling the others
+    come from.
+    """
+    both = links.select("role", "distance", "n", "more", F.inline(F.array(F.struct(F.col("key").alias("key"), F.col("target").alias("target"), F.lit(True).alias("up")), F.struct(F.col("target").alias("key"), F.col("key").alias("target"), F.lit(False).alias("up")))))
+    both = both.filter(F.col("up") | ~F.col("more")).distinct()
+    degree = links.select("role", F.inline(F.array(F.struct(F.col("key").alias("key"), F.col("target").alias("of")), F.struct(F.col("target").alias("key"), F.col("key").alias("of"))))).distinct().groupBy("role", "key").agg(F.count("*").alias("links"))
+    ranked = both.join(degree, ["role", "key"]).join(degree.withColumnsRenamed({"key": "target", "links": "target_links"}), ["role", "target"])
+    ranked = ranked.filter(F.col("more") | (F.struct("links", "key") < F.struct(F.col("target_links").alias("links"), F.col("target").alias("key"))))
+    best = F.max_by("target", F.struct("more", (-F.col("distance")).alias("near"), "n", "target_links", "target"))
+    up = cut(ranked.groupBy("role", "key").agg(best.alias("root")))
+    on = up.select("role", F.col("key").alias("root"), F.col("root").alias("further"))
+    return up.join(on, ["role", "root"], "left").select("role", "key", F.coalesce("further", "root").alias("root"))
 
 
 def name_entities(names: DataFrame) -> DataFrame:
@@ -314,52 +448,54 @@ def name_entities(names: DataFrame) -> DataFrame:
     initials only goes to the person it fits if there is just one; where several
     fit it stays apart.  An empty table gives no rows.
     """
-    counted = names.filter(F.col("name").isNotNull() & ~F.trim("name").isin(PLACEHOLDERS)).groupBy("name").agg(F.count("*").alias("n"))
-    parts = cut(settle_order(cut(parsed_names(counted))))
-    roots = settle_spellings(parts.select(F.col("kind").alias("grp"), "key", "n"), 2, _edits_by_length())
-    meant = F.create_map(*[F.lit(x) for nick, full in NICKNAMES.items() for x in (nick, full)])
-    parts = parts.join(roots.select(F.col("grp").alias("kind"), "key", "root"), ["kind", "key"])
-    # two slips in one key: among people of one initial, and places of one kind of body
-    within = F.when(F.col("kind") == "person", F.substring(F.coalesce(F.element_at(meant, F.col("given")), F.col("given")), 1, 1)).otherwise(F.col("rest"))
-    parts = cut(parts.withColumn("within", F.concat_ws("/", "kind", F.coalesce(within, F.lit("")))))
-    roots = settle_spellings(parts.filter("within <> 'person/'").select(F.col("within").alias("grp"), F.col("root").alias("key"), "n"), 3, _swapped(7))
-    parts = parts.join(roots.select(F.col("grp").alias("within"), F.col("key").alias("root"), F.col("root").alias("further")), ["within", "root"], "left")
-    parts = cut(parts.withColumn("root", F.coalesce("further", "root")).drop("within", "further"))
-
-    bodies = parts.filter("kind = 'body'")
-    same = settle_spellings(bodies.select(F.col("root").alias("grp"), F.col("rest").alias("key"), "n"), 3, F.least(F.length("a"), F.length("b")) > 3)  # three slips in three letters say nothing
-    bodies = bodies.join(same.select(F.col("grp").alias("root"), F.col("key").alias("rest"), F.col("root").alias("body")), ["root", "rest"]).select("name", "kind", F.xxhash64("kind", "root", "body").alias("entity"))
-
-    people = parts.filter("kind = 'person'").withColumn("grp", F.concat_ws("/", "root", "generation"))
+    held = names.filter(F.col("name").isNotNull() & ~F.trim("name").isin(PLACEHOLDERS)).select("name").distinct()
+    width = shuffle_width(names.sparkSession)
+    parts = cut(settle_order(cut(parsed_names(held.repartition(width)))))  # few bytes, but dear to parse: never coalesced
+    links = cut(supported_links(cut(vocabulary(parts))))
+    settled = cut(roots(links.filter("role <> 'g'")))
+    of = lambda role: settled.filter(F.col("role") == role)
+
+    bodies = parts.filter("kind = 'body'").select("name", "kind", "key", "rest")
+    whole = settled.filter(F.startswith("role", F.lit("r/"))).select(F.substr("role", F.lit(3)).alias("key"), F.col("key").alias("rest"), F.col("root").alias("body"))
+    bodies = bodies.join(whole, ["key", "rest"], "left").withColumn("rest", F.coalesce("body", "rest"))
+    bodies = bodies.join(of("p").select("key", F.col("root").alias("place")), "key", "left").select("name", "kind", F.coalesce("place", "key").alias("place"), "rest")
+    shown = bodies.select("rest").distinct().select("rest", F.posexplode(F.split("rest", " ")).alias("at", "key"))
+    shown = shown.join(of("b").select("key", "root"), "key", "left").groupBy("rest").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("root", "key").alias("word")))).alias("w"))  # the words of one name
+    words = F.filter("w.word", lambda w: ~w.isin(sorted(LINKS)))
+    bodies = bodies.join(shown.select("rest", F.array_join(words, " ").alias("body")), "rest").select("name", "kind", F.xxhash64("kind", "place", "body").alias("entity"))
+
+    people = parts.filter("kind = 'person'").join(of("s").select("key", "root"), "key", "left")
+    people = cut(people.select("name", "kind", F.concat_ws("/", F.coalesce("root", "key"), "generation").alias("grp"), "given", "middle"))
     spelt = people.filter(F.length("given") > 1)
-    spelt = spelt.withColumn("options", F.split(F.coalesce(F.element_at(meant, F.col("given")), F.col("given")), " "))
-    # a nickname of several names stands for the one that occurs with the surname
-    present = spelt.filter(F.element_at(meant, F.col("given")).isNull()).groupBy("grp", F.col("given").alias("option")).agg(F.sum("n").alias("present"))
-    options = spelt.select("grp", "given", F.posexplode(F.col("options")).alias("pos", "option")).distinct()
-    chosen = options.join(present, ["grp", "option"], "left").groupBy("grp", "given").agg(F.max(F.struct(F.coalesce("present", F.lit(0)).alias("present"), (-F.col("pos")).alias("pos"), "option")).alias("c")).select("grp", "given", F.col("c.option").alias("full"))
-    spelt = cut(spelt.join(chosen, ["grp", "given"]).select("name", "kind", "n", "grp", "full", "middle"))
-    firsts = settle_spellings(spelt.select("grp", F.col("full").alias("key"), "n"), 3, _edits_by_length() | _swapped(5))
-    spelt = spelt.join(firsts.select("grp", F.col("key").alias("full"), F.col("root").alias("first")), ["grp", "full"])
+    # what a given name may stand for: the right spellings of a misspelt one, the names of a nickname; of several, the one that occurs with the surname
+    forms = spelt.select("grp", "given").distinct()
+    near = links.filter("role = 'g'").select(F.col("key").alias("given"), "target", "distance", F.col("n").alias("known"))
+    options = forms.join(near, "given", "left").select("grp", "given", F.posexplode(_options(F.coalesce("target", "given"))).alias("pos", "option"), F.coalesce("distance", F.lit(0)).alias("distance"), F.coalesce("known", F.lit(0)).alias("known"))
+    present = spelt.groupBy("grp", F.col("given").alias("option")).agg(F.count("*").alias("present"))
+    order = F.struct(F.coalesce("present", F.lit(0)).alias("present"), (-F.col("distance")).alias("near"), "known", (-F.col("pos")).alias("pos"), "option")
+    chosen = options.join(present, ["grp", "option"], "left").groupBy("grp", "given").agg(F.max(order).alias("c")).select("grp", "given", F.col("c.option").alias("first"))
+    spelt = spelt.join(chosen, ["grp", "given"]).select("name", "kind", "grp", "first", "middle")
 
     # middle names: a form without one goes to the only one there is
-    middles = spelt.filter("middle is not null").groupBy("grp", "first").agg(F.countDistinct("middle").alias("middles"), F.min("middle").alias("only"))
-    spelt = spelt.join(middles, ["grp", "first"], "left").withColumn("mid", F.coalesce("middle", F.when(F.col("middles") == 1, F.col("only")), F.lit("")))
-    spelt = cut(spelt.select("name", "kind", "grp", "first", "mid"))
+    middles = spelt.filter("middle is not null").groupBy("grp", "first").agg(F.min("middle").alias("only"), F.max("middle").alias("last"))
+    mid = F.coalesce("middle", F.when(F.col("only") == F.col("last"), F.col("only")), F.lit(""))
+    spelt = cut(spelt.join(middles, ["grp", "first"], "left").select("name", "kind", "grp", "first", mid.alias("mid")))
     persons = spelt.select("grp", F.substring("first", 1, 1).alias("initial"), "first", "mid").distinct()
 
+    # initials: a form goes to the only person it fits, by the middle initial where there is one
     short = people.filter("given is null or length(given) = 1").select("name", "kind", "grp", F.coalesce("given", F.lit("")).alias("initial"), F.coalesce("middle", F.lit("")).alias("m"))
-    forms = short.select("grp", "initial", "m").distinct()
-    fits = forms.join(persons, ["grp", "initial"]).filter((F.col("m") == "") | (F.col("mid") == "") | (F.col("m") == F.col("mid")))
-    fits = fits.withColumn("exact", (F.col("m") == F.col("mid")).cast("int"))
-    best = fits.groupBy("grp", "initial", "m").agg(F.max("exact").alias("best"))
-    fits = fits.join(best, ["grp", "initial", "m"]).filter((F.col("m") == "") | (F.col("exact") == F.col("best")))
-    only = fits.groupBy("grp", "initial", "m").agg(F.count("*").alias("k"), F.min(F.struct("first", "mid")).alias("p")).filter("k = 1").select("grp", "initial", "m", F.col("p.first").alias("first"), F.col("p.mid").alias("mid"))
-    placed = forms.join(only, ["grp", "initial", "m"], "left")
+    fits = short.select("grp", "initial", "m").distinct().join(persons, ["grp", "initial"], "left")
+    fit = F.col("first").isNotNull() & ((F.col("m") == "") | (F.col("mid") == "") | (F.col("m") == F.col("mid")))
+    exact = fit & (F.col("m") == F.col("mid")) & (F.col("m") != "")
+    person = F.struct("first", "mid")
+    counted = [F.count(F.when(c, 1)).alias(f"n_{x}") for x, c in (("fit", fit), ("exact", exact))] + [F.min(F.when(c, person)).alias(f"p_{x}") for x, c in (("fit", fit), ("exact", exact))]
+    placed = fits.groupBy("grp", "initial", "m").agg(*counted)
+    only = F.when(F.col("n_exact") == 1, F.col("p_exact")).when((F.col("n_exact") == 0) & (F.col("n_fit") == 1), F.col("p_fit"))
+    placed = cut(placed.select("grp", "initial", "m", only.alias("p")))
     # forms that fit nobody spelt out stand for themselves; the one without a middle initial goes to the only one with
-    alone = placed.filter("first is null").groupBy("grp", "initial").agg(F.countDistinct(F.when(F.col("m") != "", F.col("m"))).alias("ms"), F.max("m").alias("one"))
-    placed = placed.join(alone, ["grp", "initial"], "left")
-    mid = F.when((F.col("m") == "") & (F.col("ms") == 1), F.col("one")).otherwise(F.col("m"))
-    placed = placed.select("grp", "initial", "m", F.coalesce("first", F.concat(F.col("initial"), F.lit("."))).alias("first"), F.when(F.col("first").isNull(), mid).otherwise(F.col("mid")).alias("mid"))
+    alone = placed.filter("p is null and m <> ''").groupBy("grp", "initial").agg(F.min("m").alias("one"), F.max("m").alias("other"))
+    mid = F.when((F.col("m") == "") & (F.col("one") == F.col("other")), F.col("one")).otherwise(F.col("m"))
+    placed = placed.join(alone, ["grp", "initial"], "left").select("grp", "initial", "m", F.coalesce("p.first", F.concat("initial", F.lit("."))).alias("first"), F.when(F.col("p").isNull(), mid).otherwise(F.col("p.mid")).alias("mid"))
     short = short.join(placed, ["grp", "initial", "m"]).select("name", "kind", "grp", "first", "mid")
     persons = spelt.unionByName(short).select("name", "kind", F.xxhash64("kind", "grp", "first", "mid").alias("entity"))
     return persons.unionByName(bodies)

@@ -87,3 +87,33 @@ def test_odd_names(spark):
     e = names.name_entities(spark.createDataFrame(data, "name string"))
     assert e.count() <= len(data)
     assert rows(names.name_entities(spark.createDataFrame([], "name string"))) == []
+
+
+#: People and bodies of their own, however near their names are.
+APART = [
+    ("Harris, John", "Morris, John"), ("Hanson, Mary", "Jansen, Mary"), ("Parker, Anne", "Barker, Anne"), ("Smith, Eric", "Smith, Erica"), ("Smith, Daniel", "Smith, Danielle"),
+    ("Reed, Francis", "Reed, Frances"), ("Hatozade University of Law", "Hatozade University of Art"), ("Hatozade University of Geology", "Hatozade University of Zoology"), ("Milton, Marc", "Hilton, Marc"),
+]
+
+
+@pytest.mark.parametrize("pair", APART)
+def test_near_names_of_two_stay_apart(spark, pair):
+    of = {r["name"]: r["entity"] for r in names.name_entities(spark.createDataFrame([(n,) for n in pair], "name string")).collect()}
+    assert len(set(of.values())) == 2
+
+
+def test_near_names_stay_apart_where_both_are_well_known(spark):
+    first = ["John", "Mary", "Peter", "Susan", "Quentin", "Ruth"]
+    data = [f"{s}, {g}" for s in ("Hansen", "Hanson", "Clark", "Clarke") for g in first] + ["Clark, Eric", "Clark, Erica", "Hansen, Eric", "Hansen, Erica", "Hanson, Eric", "Hanson, Erica"]
+    data += [f"{p} University of {f}" for p in ("Hatozade", "Kolumira", "Bendevar", "Sopinath") for f in ("Geology", "Zoology", "Law", "Art", "Land Survey", "Survey")]
+    of = {r["name"]: r["entity"] for r in names.name_entities(spark.createDataFrame([(n,) for n in data], "name string")).collect()}
+    assert len(set(of.values())) == len(data)
+
+
+def test_slips_in_bodies(spark):
+    base = ["Hatozade Institute of Grain and Barley Trade", "Kolumira Institute of Grain and Barley Trade", "Bendevar Society of Brine Studies", "Sopinath Society of Brine Studies", "Bendevar Society of Grain and Barley Trade"]
+    slips = ["Hatozade Institute of Grain ande Barley Trade", "Hatozade Institute of Grain and Barley rTade", "Hatozade Inst. for Graain & Barley Trade", "Hatozade Institute (Grain and Barley Trade)"]
+    glued = ["Bendevar Society of BrineeStudies", "Bendevar Soc. of Brine tSudies"]
+    of = {r["name"]: r["entity"] for r in names.name_entities(spark.createDataFrame([(n,) for n in base + slips + glued], "name string")).collect()}
+    assert {of[n] for n in slips} == {of[base[0]]} and {of[n] for n in glued} == {of[base[2]]}
+    assert len({of[n] for n in base}) == len(base)
