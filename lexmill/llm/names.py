@@ -391,8 +391,7 @@ def _swapped() -> Column:
 def supported_links(vocab: DataFrame) -> DataFrame:
     """``role``, ``key``, ``target``, ``distance``, ``n``: the links that the occurrences of both words support (see the module's text)."""
     met = _met_keys(vocab, CLASSES).filter((F.col("distance") < 3) | _swapped())
-    words = lambda c: F.size(F.split(c, " "))  # noqa: E731  # of bodies as often found, the one whose words aren't glued
-    up = F.struct(F.col("ia.n"), words("a").alias("w"), F.col("a").alias("k")) < F.struct(F.col("ib.n"), words("b").alias("w"), F.col("b").alias("k"))
+    up = F.struct(F.col("ia.n"), F.col("a")) < F.struct(F.col("ib.n"), F.col("b"))
     side = lambda first, second: F.when(up, F.col(first)).otherwise(F.col(second))
     met = met.select(F.regexp_extract("grp", "^(.*)/[^/]*$", 1).alias("role"), side("a", "b").alias("key"), side("b", "a").alias("target"), side("ia", "ib").alias("low"), side("ib", "ia").alias("high"), "distance")
     n, m = F.col("low.n"), F.col("high.n")
@@ -433,8 +432,9 @@ def roots(links: DataFrame) -> DataFrame:
     both = both.filter(F.col("up") | ~F.col("more")).distinct()
     degree = links.select("role", F.inline(F.array(F.struct(F.col("key").alias("key"), F.col("target").alias("of")), F.struct(F.col("target").alias("key"), F.col("key").alias("of"))))).distinct().groupBy("role", "key").agg(F.count("*").alias("links"))
     ranked = both.join(degree, ["role", "key"]).join(degree.withColumnsRenamed({"key": "target", "links": "target_links"}), ["role", "target"])
-    ranked = ranked.filter(F.col("more") | (F.struct("links", "key") < F.struct(F.col("target_links").alias("links"), F.col("target").alias("key"))))
-    best = F.max_by("target", F.struct("more", (-F.col("distance")).alias("near"), "n", "target_links", "target"))
+    words = lambda c: F.size(F.split(c, " ")).alias("words")  # noqa: E731  # of bodies, the one whose words aren't glued
+    ranked = ranked.filter(F.col("more") | (F.struct(words("key"), "links", "key") < F.struct(words("target"), F.col("target_links").alias("links"), F.col("target").alias("key"))))
+    best = F.max_by("target", F.struct("more", (-F.col("distance")).alias("near"), "n", words("target"), "target_links", "target"))
     up = cut(ranked.groupBy("role", "key").agg(best.alias("root")))
     on = up.select("role", F.col("key").alias("root"), F.col("root").alias("further"))
     return up.join(on, ["role", "root"], "left").select("role", "key", F.coalesce("further", "root").alias("root"))

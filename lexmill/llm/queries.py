@@ -38,6 +38,13 @@ def p1_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.col("gram")[0].alias("word0"), F.col("gram")[1].alias("word1"), "count", "records")
 
 
+@query
+def p1_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs of one to three tokens from one suffix array."""
+    counts = suffix_counts.all_ngram_counts(table(spark, sf_dir, "tokenization"), "nc:id", "tokenization", 3)
+    return counts.select(*[F.get("gram", F.lit(k)).alias(f"word{k}") for k in range(3)], F.col("n").cast("long").alias("n"), "count", "records")
+
+
 ORACLES["p1_terms"] = f"""
 WITH {ONCE}, n AS (SELECT count(DISTINCT "nc:id") AS n FROM once)
 SELECT token, CAST(sum(count) AS BIGINT) AS count, count(DISTINCT "nc:id") AS records,
@@ -51,6 +58,16 @@ e AS (SELECT "nc:id" AS r, unnest(list_zip(tokenization[:-2], tokenization[2:]))
 SELECT g[1] AS word0, g[2] AS word1, count(*) AS count, count(DISTINCT r) AS records FROM e WHERE g[1] IS NOT NULL AND g[2] IS NOT NULL GROUP BY ALL
 """
 
+ORACLES["p1_ngrams"] = """
+WITH d AS (SELECT DISTINCT * FROM tokenization WHERE tokenization IS NOT NULL AND "nc:id" IS NOT NULL),
+p AS (SELECT "nc:id" AS r, tokenization AS t, unnest(range(1, len(tokenization) + 1)) AS i FROM d),
+g AS (SELECT r, t[i] AS word0, NULL AS word1, NULL AS word2, 1 AS n FROM p
+      UNION ALL SELECT r, t[i], t[i + 1], NULL, 2 FROM p WHERE i + 1 <= len(t)
+      UNION ALL SELECT r, t[i], t[i + 1], t[i + 2], 3 FROM p WHERE i + 2 <= len(t))
+SELECT word0, word1, word2, CAST(n AS BIGINT) AS n, count(*) AS count, count(DISTINCT r) AS records FROM g
+WHERE word0 IS NOT NULL AND (n < 2 OR word1 IS NOT NULL) AND (n < 3 OR word2 IS NOT NULL) GROUP BY ALL
+"""
+
 # -- problem 2 ---------------------------------------------------------------
 
 

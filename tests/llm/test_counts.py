@@ -4,6 +4,8 @@ import random
 from collections import Counter, defaultdict
 from math import log
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lexmill.llm import heavy_light, suffix_counts, term_weight
@@ -58,6 +60,41 @@ def test_ngrams_with_nulls_ties_and_repeats(spark):
     assert rows(suffix_counts.ngram_counts(df, "r", "t", 2)) == sorted([(("a", "b"), 2, 1), (("b", "a"), 2, 1), (("", ""), 1, 1)], key=repr)
 
 
+def brute_ngrams(data, depth):
+    count, held = Counter(), defaultdict(set)
+    for r, t in {(r, tuple(t)) for r, t in data if r is not None and t is not None}:
+        for i in range(len(t)):
+            for n in range(1, depth + 1):
+                g = t[i : i + n]
+                if len(g) == n and None not in g:
+                    count[g] += 1
+                    held[g].add(r)
+    return sorted(((g, len(g), count[g], len(held[g])) for g in count), key=repr)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4])
+@pytest.mark.parametrize("kept", [2, 100_000])
+def test_one_suffix_array_gives_all_lengths(spark, depth, kept, monkeypatch):
+    rnd = random.Random(depth)
+    data = [(rnd.randrange(9), [rnd.choice(["a", "a", "a", "b", "", "é", None]) for _ in range(rnd.randrange(40))]) for _ in range(60)]
+    data += data[:10] + [(1, None), (None, ["a"]), (2, [])]
+    df = spark.createDataFrame(data, "r long, t array<string>").withColumns({"n": F.lit(1), "w0": F.lit("z"), "count": F.lit(2)})
+    if kept == 2:  # intervals of more records than are kept are written by record (in the workers the constant is as it is)
+        batches = [pa.record_batch([pa.array(["a"] * 9), pa.array(list("bbbcccddd")), pa.array([3, 1, 2, 3, 1, 2, 1, 1, 5]), pa.array([1] * 9)], names=["w0", "w1", "__record", "__weight"])]
+        schema = pa.schema([("w0", pa.string()), ("w1", pa.string()), ("n", pa.int32()), ("record", pa.int64()), ("count", pa.int64()), ("records", pa.int64()), ("open", pa.bool_())])
+        monkeypatch.setattr(suffix_counts, "KEPT_RECORDS", kept)
+        out = [r for b in suffix_counts._intervals(iter([b.slice(i, 3) for b in batches for i in (0, 3, 6)]), [1], 2, False, schema) for r in b.to_pylist()]
+        assert sum(r["count"] for r in out) == 9 and {r["record"] for r in out} - {None} == {1, 2, 3, 5} and all(r["open"] for r in out)
+    assert rows(suffix_counts.all_ngram_counts(df, "r", "t", depth)) == brute_ngrams([(r, t) for r, t in data], depth)
+
+
+def test_one_record_that_holds_most_rows_is_spread(spark):
+    data = [(7, i, "hot", 1, None) for i in range(3000)] * 2 + [(i, 0, "hot", 2, None) for i in range(20)] + [(7, i, "other", 1, None) for i in range(50)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(5)
+    got = suffix_counts.interval_counts(df, F.col("token"), F.col("`nc:id`"), F.col("count"), tasks=6)
+    assert rows(got) == [("hot", 3040, 20), ("other", 50, 1)]
+
+
 def test_top_items_are_exact_with_a_tiny_sketch(spark):
     data = unigrams(5, 900)
     totals = Counter()
