@@ -12,7 +12,8 @@ bodies are one vocabulary, grouped by role and first letter.  Nearness alone
 links nothing; a link needs support from how its two words occur:
 
 * a surname goes to one that occurs with the same initials, and not if it is
-  itself found with several;
+  itself found with several (one that stands alone, without a given name, is
+  taken as it is spelt);
 * a given name, or a word of a body, goes to one that is far more frequent, so
   two names of their own (Eric, Erica) stay apart, as do two fields (Law, Art);
 * a body as a whole goes to one of its place that it differs from by glued or
@@ -359,7 +360,7 @@ def _options(given: Column) -> Column:
 
 
 def vocabulary(parts: DataFrame) -> DataFrame:
-    """``grp`` (role and, but for words of bodies, first letter; surnames also by the second), ``key``, ``info`` (``n``: names it occurs in, ``initials`` beside a surname) of the words of all names.
+    """``grp`` (role and, but for words of bodies, first letter; surnames also by the second, and by each initial beside them), ``key``, ``info`` (``n``: names it occurs in, ``initials`` beside a surname) of the words of all names.
 
     Roles are s (surname), g (given name), p (place), b (word of a body; link
     words count once for every body) and r (all words of a body of one place).
@@ -377,9 +378,11 @@ def vocabulary(parts: DataFrame) -> DataFrame:
     rows = rows.filter((F.col("role") == "b") | (F.length("key") > 3))
     first, second = F.substring("key", 1, 1), F.substring("key", 2, 1)  # a surname after a particle may lose or swap its first letter
     letters = F.when(F.col("role") == "b", F.array(F.lit(""))).when(F.col("role") == "s", F.array_distinct(F.array(first, second))).otherwise(F.array(first))
-    rows = rows.select("key", "initials", F.col("role").alias("r"), F.explode(letters).alias("letter")).select(F.concat_ws("/", "r", "letter").alias("grp"), "key", F.posexplode_outer("initials").alias("at", "initial"))
+    rows = rows.select("role", "key", letters.alias("letters"), F.posexplode_outer("initials").alias("at", "initial"))
     names = F.count(F.when(F.coalesce("at", F.lit(0)) == 0, 1))  # a name has a row for each of its initials
-    return rows.groupBy("grp", "key").agg(F.struct(names.alias("n"), F.collect_set("initial").alias("initials")).alias("info"))  # initials: no more than letters
+    words = rows.groupBy("role", "key").agg(names.alias("n"), F.collect_set("initial").alias("initials"), F.first("letters").alias("letters"))  # initials: no more than letters
+    words = words.select("role", "key", F.struct("n", "initials").alias("info"), F.explode("letters").alias("letter"), "initials")
+    return words.select("role", F.explode_outer(F.when(F.col("role") == "s", F.col("initials"))).alias("initial"), "letter", "key", "info").select(F.concat_ws("/", "role", F.concat("letter", F.coalesce("initial", F.lit("")))).alias("grp"), "key", "info")
 
 
 def _swapped() -> Column:
@@ -397,7 +400,7 @@ def supported_links(vocab: DataFrame) -> DataFrame:
     n, m = F.col("low.n"), F.col("high.n")
     short = F.greatest(F.length("key"), F.length("target")) <= SHORT
     far = (n * F.when(short, FAR_MORE_SHORT).otherwise(FAR_MORE) <= m) | ((n <= FEW) & (n * MORE <= m))
-    surname = (F.arrays_overlap("low.initials", "high.initials") | (F.size("low.initials") == 0) | (F.size("high.initials") == 0)) & ((F.size("low.initials") < OWN_INITIALS) | (n * FAR_MORE <= m))
+    surname = (F.size("low.initials") < OWN_INITIALS) | (n * FAR_MORE <= m)  # they share an initial: their group
     begins = lambda c, at: F.substring(c, at, 1)
     shifted = ((begins("key", 2) == begins("target", 1)) | (begins("key", 1) == begins("target", 2))) & (F.col("distance") <= 2) & (n <= FEW) & (n * MORE <= m)
     surname = surname & ((begins("key", 1) == begins("target", 1)) | shifted)
