@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.operators.drift import consistent_table, schema_changes
+from lexmill.operators.drift import change_report, consistent_table, schema_changes
 from lexmill.operators.heavy_tokens import token_leaders
 from lexmill.plans.tables import table
 
@@ -54,8 +54,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report with old names and types."""
-    return schema_changes(table(spark, sf_dir, "dissertation_files"))
+    """The report with old names and types, and the changes within fields."""
+    return change_report(table(spark, sf_dir, "dissertation_files"))
 
 
 def p7_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import json
 
-from lexmill.operators.drift import consistent_table, schema_changes, tagged_values
+from lexmill.operators.drift import change_report, consistent_table, schema_changes, shape_paths, tagged_values
 from tests.conftest import rows
 
 LINES = "feed string, file_no long, file_name string, line_no long, arrived_at timestamp_ntz, line string"
@@ -79,3 +79,38 @@ def test_a_row_for_every_whole_line(spark):
 def test_a_file_of_lines_without_keys_is_compared(spark):
     got = changes(schema_changes(lines(spark, {("f", 1): [{"a": 1}], ("f", 2): [{}], ("f", 3): [{"a": 1}]})))
     assert got == [(2, "removed", "a"), (3, "added", "a")]
+
+
+def test_paths_of_a_shape():
+    assert shape_paths("STRING") == (("", "string"),) and shape_paths("DECIMAL(3,1)") == (("", "float"),)
+    assert shape_paths("ARRAY<OBJECT<a: BIGINT, b c: ARRAY<STRING>, d: OBJECT<>>>") == (("", "array"), ("[]", "object"), ("[].a", "integer"), ("[].b c", "array"), ("[].b c[]", "string"), ("[].d", "object"))
+    assert shape_paths("OBJECT<`a:b`: VOID, x: VARIANT>") == (("", "object"), (".x", "mixed"))
+
+
+def test_alternatives_and_inner_paths_are_reported(spark):
+    a = [{"k": f"v {i}", "o": {"n": i, "t": {"y": i}}} for i in range(8)]
+    b = [{"k": [f"v {i}"] if i % 4 == 0 else f"v {i}", "o": {"n": i, "t": {"y": i}}} for i in range(8)]
+    c = [{"k": [f"v {i}"] if i % 4 == 0 else f"v {i}", "o": {"n": str(i), "t": {"y": i, "new": [1]}}} for i in range(8)]
+    d = [{"k": f"v {i}", "o": {"n": str(i), "t": {"new": [1]}}} for i in range(8)]
+    df = lines(spark, {("f", 1): a, ("f", 2): b, ("f", 3): c, ("f", 4): d})
+    assert changes(schema_changes(df)) == []
+    got = rows(change_report(df).select("file_no", "change_kind", "field", "old_type", "new_type"))
+    want = [(2, "alternative_added", "k", None, "array"), (3, "alternative_added", "o.n", None, "string"), (3, "alternative_removed", "o.n", "integer", None), (3, "path_added", "o.t.new", None, "array")]
+    want += [(4, "alternative_removed", "k", "array", None), (4, "path_removed", "o.t.y", "integer", None)]
+    assert got == sorted(want, key=repr)
+
+
+def test_alternatives_follow_a_renamed_field(spark):
+    a = [{"id": str(i), "advisor": NAMES[i]} for i in range(8)]
+    b = [{"id": str(i + 8), "chair": [NAMES[i]] if i == 3 else NAMES[i]} for i in range(8)]
+    got = rows(change_report(lines(spark, {("f", 1): a, ("f", 2): b})).select("change_kind", "field", "old_field", "new_type"))
+    assert got == [("alternative_added", "chair", "advisor", "array"), ("renamed", "chair", "advisor", "string")]
+
+
+def test_two_keys_that_stand_for_one_field_keep_their_values(spark):
+    a = [{"id": str(i), "advisor": NAMES[i]} for i in range(8)]
+    b = [{"id": str(i + 8), "chair": NAMES[i]} for i in range(8)]
+    c = [{"id": str(i + 16), "chair": NAMES[i], "advisor": f"note {i}"} for i in range(8)]
+    table, _ = consistent_table(lines(spark, {("f", 1): a, ("f", 2): b, ("f", 3): c}))
+    got = {(r["file_no"], r["line_no"]): r for r in table.collect()}
+    assert all(got[n, i]["advisor"] == NAMES[i] for n in (1, 2, 3) for i in range(8)) and all(got[3, i]["advisor__again"] == f"note {i}" for i in range(8))
