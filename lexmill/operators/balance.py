@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.session import shuffle_width
+from lexmill.session import cut, shuffle_width
 
 #: A key is heavy from 1/FINENESS of a task's fair share on.
 FINENESS = 4
@@ -112,18 +112,21 @@ def pack(heavy: dict, bin_loads: list[int], tasks: int, target: float) -> tuple[
     return shards, bin_tasks, loads
 
 
-def plan_load(counts: DataFrame, key: str, load: str, tasks: int | None = None) -> Layout:
+def plan_load(counts: DataFrame, key: str, load: str, tasks: int | None = None, summed: bool = False) -> Layout:
     """Layout from the load of each key (``counts``: one row per key, or partial rows of it).
 
-    The counts are exact, over all rows.  An empty table gives a layout of
-    empty bins; a null key is light and has a bin like any other.
+    The counts are exact, over all rows, and worked out once: they are stored
+    unless ``summed`` says that they are, with one row per key.  An empty table
+    gives a layout of empty bins; a null key is light and has a bin like any other.
     """
     spark = counts.sparkSession
     tasks = tasks or shuffle_width(spark)
     bins = BINS_PER_TASK * tasks
     k = F.col(f"`{key}`")
-    per_key = counts.groupBy(k.alias("__key")).agg(F.sum(f"`{load}`").alias("__n"))
-    total = counts.agg(F.sum(f"`{load}`")).first()[0] or 0
+    per_key = counts.select(k.alias("__key"), F.col(f"`{load}`").alias("__n"))
+    if not summed:
+        per_key = cut(per_key.groupBy("__key").agg(F.sum("__n").alias("__n")))
+    total = per_key.agg(F.sum("__n")).first()[0] or 0
     least = max(1.0, total / tasks / FINENESS)
     heavy = (F.col("__n") > least) & F.col("__key").isNotNull()
     rows = (
