@@ -9,9 +9,9 @@ isn't in a bucket is in a counter.  Sketches of partitions merge bucket by
 bucket: the item with the most votes stays, the others fall into counters.
 
 For every item, count <= bucket + counter.  So the sketch bounds what it
-doesn't hold, and a second look at the table makes the result exact: the items
-held in buckets are recounted, the k-th of them gives a threshold, and any item
-outside whose counter reaches it is recounted too.  No item is missed; memory
+doesn't hold, and a second look at the table makes the result exact: the k items
+of most votes are recounted, the least of their totals gives a threshold, and
+any item, held or not, whose bound reaches it is recounted too.  No item is missed; memory
 is that of the sketch, whatever the number of rows or distinct values.
 """
 
@@ -140,19 +140,30 @@ def top_items(df: DataFrame, item: str, weight: str, k: int, unique: bool = True
     rows = df.select(F.col(f"`{item}`").alias("item"), F.col(f"`{weight}`").alias("weight"), *others)
     rows = rows.filter(F.col("item").isNotNull() & (F.col("weight") >= 1))
     heavy, light = sketch(rows, buckets, counters)
-    held = heavy.select("item", "votes").collect()  # at most `buckets` items
+    held = heavy.select("item", "votes", _slot("item", 2, counters).alias("slot")).collect()  # at most `buckets` items
     floor = {r["slot"]: r["votes"] for r in light.collect()}  # at most `counters` numbers
 
     def exact(part: DataFrame) -> DataFrame:
         part = part.distinct() if unique else part
         return part.groupBy("item").agg(F.sum("weight").alias("total"))
 
+    def recount(items: list[str]) -> list[tuple[str, int]]:
+        """True totals of a few items."""
+        if not items:
+            return []
+        some = spark.createDataFrame([(x,) for x in items], "item string")
+        return [tuple(r) for r in exact(rows.join(F.broadcast(some), "item", "left_semi")).select("item", "total").collect()]
+
     held_df = spark.createDataFrame([(r["item"], r["votes"]) for r in held], "item string, estimate long")
-    of_held = exact(rows.join(F.broadcast(held_df.select("item")), "item", "left_semi"))
-    tops = of_held.orderBy(F.desc("total"), "item").limit(k).collect()
-    threshold = tops[-1]["total"] if len(tops) == k else 1
+    by_votes = sorted(held, key=lambda r: (-r["votes"], r["item"]))
+    found = recount([r["item"] for r in by_votes[:k]])
+    # no more than k items; the least of their totals is a lower bound of the k-th, and only what can reach it is recounted
+    threshold = min((n for _, n in found), default=1) if len(found) == k else 1
+    found += recount([r["item"] for r in by_votes[k:] if r["votes"] + floor.get(r["slot"], 0) >= threshold])
+    tops = sorted(found, key=lambda x: (-x[1], x[0]))[:k]
+    threshold = tops[-1][1] if len(tops) == k else 1
     hot = [slot for slot, votes in floor.items() if votes >= threshold]  # the only slots of an unheld item that could count
-    top_df = spark.createDataFrame([(r["item"], r["total"]) for r in tops], "item string, total long")
+    top_df = spark.createDataFrame(tops, "item string, total long")
     if hot:
         hot_df = spark.createDataFrame([(h,) for h in hot], "slot long")
         unheld = rows.join(F.broadcast(held_df.select("item")), "item", "left_anti").withColumn("__slot", _slot("item", 2, counters))
