@@ -121,7 +121,7 @@ def _intervals(batches: Iterator[pa.RecordBatch], lengths: list[int], depth: int
         differs = {c: _differs(batch.column(c), last.column(c) if last is not None else None) for c in (batch.schema.names if unique else [*word_names, RECORD])}
         weight = batch.column(WEIGHT).to_numpy(zero_copy_only=False)
         if unique:
-            fresh = np.logical_or.reduce([d for c, d in differs.items() if c != WEIGHT])
+            fresh = np.logical_or.reduce(list(differs.values()))
             weight = np.where(fresh, weight, 0)
         record = batch.column(RECORD)
         codes = record.dictionary_encode()
@@ -188,17 +188,19 @@ def _intervals(batches: Iterator[pa.RecordBatch], lengths: list[int], depth: int
     yield from written()
 
 
-def suffix_intervals(rows: DataFrame, words: list[Column], record: Column, weight: Column, unique: bool, lengths: list[int] | None = None, tasks: int | None = None) -> DataFrame:
+def suffix_intervals(rows: DataFrame, words: list[Column], record: Column, weight: Column, unique: bool | list[str], lengths: list[int] | None = None, tasks: int | None = None) -> DataFrame:
     """Total weight and number of records of every n-gram of the suffixes ``words``, for all n up to their number or those in ``lengths``.
 
     A suffix ends at its first null word.  With ``unique``, rows equal in all
-    columns of ``rows`` count once.  ``record`` must not be null (filter before);
+    columns of ``rows`` count once; a list names the columns that tell rows of
+    equal words, record and weight apart.  ``record`` must not be null (filter before);
     null weights count as 0.  An empty table gives no rows.  Returns the words
     ``w0``, ... (null beyond the n-gram), ``n``, ``count``, ``records``.
     """
     depth = len(words)
     lengths = lengths or list(range(1, depth + 1))
-    names = rows.columns if unique else []
+    names = unique if isinstance(unique, list) else rows.columns if unique else []
+    unique = unique is not False
     kept, there = [], F.lit(True)
     for k, w in enumerate(words):
         there = there & w.isNotNull()
@@ -221,7 +223,7 @@ def suffix_intervals(rows: DataFrame, words: list[Column], record: Column, weigh
     return whole.unionByName(parts)
 
 
-def interval_counts(rows: DataFrame, gram: Column, record: Column, weight: Column, unique: bool = True, tasks: int | None = None) -> DataFrame:
+def interval_counts(rows: DataFrame, gram: Column, record: Column, weight: Column, unique: bool | list[str] = True, tasks: int | None = None) -> DataFrame:
     """Total weight and number of records of every distinct ``gram``: suffixes of one word; cases as of :func:`suffix_intervals`.
 
     Null grams are left out.  Returns ``gram``, ``count``, ``records``.
@@ -261,6 +263,7 @@ def term_frequencies(unigrams: DataFrame, rare_below: int = 3, common_share: flo
     the empty string is a token.
     """
     total = record_count(unigrams)
-    counts = interval_counts(countable(unigrams), F.col("token"), F.col("`nc:id`"), F.col("count"))
+    others = [c for c in unigrams.columns if c not in ("token", "nc:id", "count")]
+    counts = interval_counts(countable(unigrams), F.col("token"), F.col("`nc:id`"), F.col("count"), others)
     mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > F.lit(total) * F.lit(common_share), "common")
     return counts.select(F.col("gram").alias("token"), "count", "records", mark.alias("mark"))
