@@ -1,14 +1,17 @@
 """Problem 5: markup residue found and turned into clean text.
 
-The texts carry neither URL nor host, so pages can't be paired by URL and
-compared; nothing of a remnant inside one sentence would be shared between
-pages either.  Instead each text is read by the grammars of the four markups:
+Where pages have a host and a path, what they share with the page of the nearest
+path is residue of their template: see :mod:`lexmill.llm.page_difference`.  The
+tables ``texts`` and ``split_a`` have neither, and nothing of a remnant inside
+one sentence would be shared between pages.  So each of their texts is read by
+the grammars of the four markups:
 
 * *finding* is a set of patterns for the JVM, one family each for HTML,
   Markdown, wiki and LaTeX.  Every pattern asks for a complete construct (an
-  element with a known name, a closed pair of signs, a command with its
-  argument), so that signs that prose uses for itself (a < b, 5 * 3, $5, C:\\x,
-  snake_case, [sic], footnote 'a' style quotes) aren't found;
+  element or entity with a known name, a closed pair of signs, a command with
+  its argument), so that signs that prose uses for itself (a < b, R&D, 5 * 3,
+  $5_000, C:\\x, snake_case, __init__, [sic], a dialogue in dashes, footnote 'a'
+  style quotes) aren't found;
 * *cleaning* rewrites the constructs: code and formulas are taken out first and
   put back unchanged at the end, headings become lines of their own, list items
   lines that begin with '- ' or their number, tables rows of cells, and all else
@@ -20,6 +23,7 @@ Both are per-row expressions without any shuffle.
 from __future__ import annotations
 
 import html
+import html.entities
 import re
 from collections.abc import Iterator
 
@@ -34,17 +38,22 @@ ELEMENTS = (
     "style sub summary sup svg syntaxhighlight table tbody td textarea tfoot th thead time title tr tt u ul var video wbr nowiki gallery"
 ).split()
 
+#: Names between double underscores that code uses, not bold words; fixed values.
+DUNDER = "init main name file all doc dict class call str repr len iter next new del enter exit getattr setattr getitem setitem eq hash slots version import future builtins path pycache annotations".split()
+#: Entities with a name, as HTML defines them.
+ENTITIES = sorted(x.removesuffix(";") for x in html.entities.html5 if x.endswith(";"))
+
 _ATTRIBUTE = r"(?:\s+[a-zA-Z:_-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))?)"
 TAG = rf"</?(?:{'|'.join(ELEMENTS)}){_ATTRIBUTE}*\s*/?>"
 
 FAMILIES: dict[str, list[str]] = {
-    "html": [rf"(?i){TAG}", r"<!--", r"(?i)<!doctype\s+\w", r"&(?:[a-zA-Z][a-zA-Z0-9]{1,30}|#\d{1,7}|#[xX][0-9a-fA-F]{1,6});"],
+    "html": [rf"(?i){TAG}", r"<!--", r"(?i)<!doctype\s+\w", r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6});"],
     "markdown": [
         r"!?\[[^\]\n]*\]\((?:[a-z]+:|/|#|[\w.-]+\.\w|[\w.-]+/)[^)\n]*\)",
         r"\[\^\w+\]",
-        r"\[[^\]\n]+\]\[[^\]\n]*\](?!\w)|(?m:^\[[^\]\n]+\]:\s+\S)",
+        r"(?<![\w\])])\[[^\]\n]{2,}\]\[[^\]\n]*\](?!\w)|(?m:^\[[^\]\n]+\]:\s+\S)",
         r"(?<![\w*])\*{1,3}(?=[^\s*])[^*\n]*[^\s*]\*{1,3}(?![\w*])",
-        r"(?<![\w_])_{1,3}(?=[^\s_])[^_\n]*[^\s_]_{1,3}(?![\w_])",
+        rf"(?<![\w_])(?!__(?:{'|'.join(DUNDER)})__)_{{1,3}}(?=[^\s_])[^_\n]*[^\s_]_{{1,3}}(?![\w_])",
         r"~~[^\s~][^~\n]*~~",
         r"`[^`'\n]+`|(?m:^\s{0,3}(?:```|~~~))",
         r"(?m)^ {0,3}#{1,6} +\S",
@@ -52,7 +61,9 @@ FAMILIES: dict[str, list[str]] = {
         r"(?m)^ {0,3}\|?(?: *(?::-+:?|-{3,}:?) *\|)+ *(?::-+:?|-{3,}:?)? *\r?$",
         r"(?m)^ {0,3}> \S",
         r"(?m)^ {0,3}(?:\*(?: ?\*){2,}|-(?: -){2,}|---+|_{3,}) *\r?$",
-        r"(?m)^ {0,3}[-*+] +\S[^\n]*\r?\n(?:[^\n]*\r?\n)? {0,3}[-*+] +\S",
+        r"(?m)^ {0,3}[-*+] +\S[^\n]*(?<![.!?][\"'\u201d]{0,2})\r?\n(?:[^\n]*\r?\n)? {0,3}[-*+] +\S",
+        r"(?m)^ {0,3}[-*+] +\S[^\n]*\r?\n(?:[^\n]*\r?\n)? {0,3}[-*+] +\S[^\n]*(?<![\r\n.!?][\"'\u201d]{0,2})\r?$",
+        r"(?m)^ {0,3}[*+] +\S[^\n]*\r?\n(?:[^\n]*\r?\n)? {0,3}[*+] +\S",
     ],
     "wiki": [
         r"\[\[[^\]\n]+\]\]",
@@ -68,7 +79,7 @@ FAMILIES: dict[str, list[str]] = {
         r"\\(?:ldots|dots|item|LaTeX|TeX|noindent|maketitle|tableofcontents|par|quad|qquad|textbackslash|copyright|clearpage|newpage|hline|alpha|beta|gamma|sum|int|infty|leq|geq|times|cdot)(?![a-zA-Z\\])",
         r"\\[&%$#](?![a-zA-Z]*\\)",
         r"\\\([^\n]*?\\\)|\\\[",
-        r"\$[^$\n]*[\\^_{}][^$\n]*\$",
+        r"\$(?=[^\s$])[^$\n]*[\\^_{}][^$\n]*(?<=[^\s$])\$(?!\d)",
         r"\$\$[^$]+\$\$",
         r"\{\\[a-zA-Z]+ ",
         r"``[^`\n]*''",
@@ -82,7 +93,7 @@ def _needs(family: str, pattern: str) -> list[str]:
     """Literals of which every match of a pattern has one: the pattern is only tried on texts that hold one."""
     gates = {
         "html": {0: ["<"], 1: ["<!--"], 2: ["<!"], 3: ["&"]},
-        "markdown": {0: ["]("], 1: ["[^"], 2: ["][", "]:"], 3: ["*"], 4: ["_"], 5: ["~~"], 6: ["`", "~~~"], 7: ["#"], 8: ["===", "---"], 9: ["---", ":-"], 10: [">"], 11: ["*", "-", "___"], 12: ["- ", "* ", "+ "]},
+        "markdown": {0: ["]("], 1: ["[^"], 2: ["][", "]:"], 3: ["*"], 4: ["_"], 5: ["~~"], 6: ["`", "~~~"], 7: ["#"], 8: ["===", "---"], 9: ["---", ":-"], 10: [">"], 11: ["*", "-", "___"], 12: ["- ", "* ", "+ "], 13: ["- ", "* ", "+ "], 14: ["* ", "+ "]},
         "wiki": {0: ["[["], 1: ["{{"], 2: ["''"], 3: ["="], 4: ["{|", "|}", "|-"], 5: ["://"], 6: ["~~~~", "__", "#"]},
         "latex": {0: ["\\"], 1: ["\\"], 2: ["\\"], 3: ["\\(", "\\["], 4: ["$"], 5: ["$$"], 6: ["{\\"], 7: ["``"], 8: ["\\"], 9: ["\\"]},
     }
@@ -97,6 +108,9 @@ def holds(text: Column, family: str) -> Column:
         for literal in _needs(family, pattern):
             near = near | text.contains(literal)
         found = found | (near & text.rlike(pattern))
+    if family == "html":
+        named = F.exists(F.regexp_extract_all(text, F.lit("&([a-zA-Z][a-zA-Z0-9]{1,30});")), lambda x: x.isin(ENTITIES))
+        found = found | (text.contains("&") & named)
     return F.coalesce(found, F.lit(False))
 
 
@@ -125,7 +139,7 @@ _FORMULA = [
     re.compile(r"\$\$(?P<body>[^$]+)\$\$"),
     re.compile(r"\\\[(?!\d)(?P<body>.*?)\\\]", re.S),
     re.compile(r"\\\((?P<body>.*?)\\\)"),
-    re.compile(r"\$(?P<body>[^$\n]*[\\^_{}][^$\n]*)\$"),
+    re.compile(r"\$(?P<body>(?=[^\s$])[^$\n]*[\\^_{}][^$\n]*(?<=[^\s$]))\$(?!\d)"),
     re.compile(r"<math\b[^>]*>(?P<math>.*?)</math>", _FLAGS),
 ]
 #: Accents of LaTeX as combining characters; fixed values.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, heavy_light, markup, mixture, names, stuffing, suffix_counts, term_weight
+from lexmill.llm import bpe, heavy_light, markup, mixture, names, page_difference, stuffing, suffix_counts, term_weight
 from lexmill.plans.tables import table
 
 QUERIES = {}
@@ -127,6 +127,12 @@ def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+@query
+def p5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a URL: documents by repository and path, less the lines shared with the nearest."""
+    return page_difference.page_difference(table(spark, sf_dir, "documents"), "doc_id", "repo", "path", "text").withColumnRenamed("page_id", "doc_id")
+
+
 # -- problem 6 ---------------------------------------------------------------
 
 

@@ -71,6 +71,20 @@ MARKED = [
 ]
 
 
+#: Prose of other origin than the tables.
+OTHER_PROSE = [
+    "It costs $5_000 today or $6 tomorrow.", "See R&Dept; for more.", "Use __init__ here, and __main__ there.", "x = [a][b]", "take m[i][j] and rows[0][col]", "- Where are you?\n- Here, she said.", "- No!\nHe paused.\n- \"Never.\"",
+    "Pay $20{ish} or $30.", "AT&T; that is a firm.", "costs US$4_a and US$5",
+]
+OTHER_MARKED = ["$x_1$ and more", "caf&eacute; &amp; bar", "&hellip;", "__bold__ word", "see [the list][ref]", "- milk\n- eggs.", "* One.\n* Two.", "+ a.\n+ b."]
+
+
+def test_prose_and_markup_of_other_origin(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(OTHER_PROSE + OTHER_MARKED)], "id long, t string")
+    got = {r["id"]: r["has_markup"] for r in markup.find_markup(df, "t").collect()}
+    assert [t for i, t in enumerate(OTHER_PROSE + OTHER_MARKED) if got[i] != (i >= len(OTHER_PROSE))] == []
+
+
 def test_markup_is_told_from_prose(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(PROSE + MARKED)], "id long, t string").withColumn("text", F.lit("<b>clash</b>"))
     got = {r["id"]: r["has_markup"] for r in markup.find_markup(df, "t").collect()}
