@@ -10,8 +10,12 @@ bytes and writes token ids:
 * States are determinised when first met: whether a border is stable, and what
   a whole stretch of bytes emits, is worked out once per worker and kept (the
   tables are emptied when full; nothing depends on what they hold).
-* A token can be written as soon as one longest token's worth of bytes has been
-  read beyond it, so the lookahead is bounded.
+* A token is written as soon as a fixed number of tokens has been read beyond it,
+  so the lookahead is bounded.  A vocabulary can be such that a border hangs on
+  bytes still further on (a chain of merges each of which comes before the one to
+  its left); then the walk would have to step back beyond what it has written.
+  That is noticed, and the stretch is walked again holding all its tokens.  What
+  comes out of either walk has stable borders throughout and so is exact.
 
 The stretches between which no merge happens are cut by column-wise arithmetic
 over the byte buffer of a whole Arrow batch: a UTF-8 state machine gives the
@@ -53,6 +57,10 @@ def _printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Crossed(Exception):
+    """A walk would have to step back beyond what it has written."""
+
+
 class Transducer:
     """Byte strings to ids of one vocabulary; grows as it is used."""
 
@@ -70,6 +78,9 @@ class Transducer:
             self.rank[a, b] = rank
             self.parts.setdefault(model["vocab"][left + right], (a, b, rank))
         self.longest = max(map(len, self.id_of))
+        self.reach: dict[bytes, int] = {}  # first two bytes -> length of the longest token that begins with them
+        for token in self.id_of:
+            self.reach[token[:2]] = max(self.reach.get(token[:2], 0), len(token))
         self.borders: dict[tuple[int, int], bool] = {}
         self.written: dict[bytes, tuple[int, ...]] = {}
         self.whole: dict[int, bool] = {}
@@ -127,15 +138,17 @@ class Transducer:
             else:
                 j += 1
 
-    def walk(self, data: bytes) -> Iterator[int]:
-        """Ids of a stretch, written with bounded lookahead.
+    def walk(self, data: bytes, hold: int | None = None) -> Iterator[int]:
+        """Ids of a stretch, written as soon as ``hold`` tokens are read beyond them (all at the end if it is 0).
 
         The walk takes the longest token with a stable border to the one before
-        and steps back when none fits.  Steps back reach at most one longest
-        token beyond what is written, so older tokens are let go at once.
+        and steps back when none fits.  ``Crossed`` is raised where it would have
+        to step back beyond a token that it has written.
         """
-        n, pending, limit, id_of, stable = len(data), [], self.longest, self.id_of, self.stable
-        pos, size = 0, min(limit, n)
+        hold = 2 * self.longest if hold is None else hold
+        n, pending, id_of, stable, reach = len(data), [], self.id_of, self.stable, self.reach
+        pos, written = 0, False
+        size = min(reach.get(data[:2], 1), n)
         while pos < n:
             before = pending[-1][0] if pending else None
             step = None
@@ -148,23 +161,33 @@ class Transducer:
             if step is not None:
                 pending.append(step)
                 pos += step[1]
-                size = min(limit, n - pos)
-                if len(pending) > 2 * limit:
-                    for token, _ in pending[:limit]:
+                size = min(reach.get(data[pos : pos + 2], 1), n - pos)
+                if hold and len(pending) > hold:
+                    written = True
+                    for token, _ in pending[: hold // 2]:
                         yield token
-                    del pending[:limit]
+                    del pending[: hold // 2]
             else:
                 token, used = pending.pop()
+                if written and not pending:  # the token before it is written already
+                    raise Crossed
                 pos -= used
                 size = used - 1
         for token, _ in pending:
             yield token
 
+    def ids(self, data: bytes) -> tuple[int, ...]:
+        """Ids of a stretch."""
+        try:
+            return tuple(self.walk(data))
+        except Crossed:
+            return tuple(self.walk(data, hold=0))
+
     def __call__(self, data: bytes) -> tuple[int, ...]:
         ids = self.written.get(data)
         if ids is None:
             token = self.id_of.get(data)
-            ids = (token,) if token is not None and self._is_whole(token) else tuple(self.walk(data))
+            ids = (token,) if token is not None and self._is_whole(token) else self.ids(data)
             if len(data) <= MEMO_BYTES:
                 if len(self.written) >= MEMO_ENTRIES:
                     self.written.clear()

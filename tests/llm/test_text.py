@@ -1,5 +1,6 @@
 """Problems 5, 8 and 10 on small texts."""
 
+import json
 import random
 
 import pyarrow as pa
@@ -42,6 +43,77 @@ def test_walk_is_the_whole_segmentation():
         assert list(t.walk(word)) == library([word.decode()])[0]
 
 
+def merged(word, merges):
+    """The plain way: the first merge of the list that applies, leftmost first, again and again."""
+    rank = {m: i for i, m in enumerate(merges)}
+    parts = list(word)
+    while len(parts) > 1:
+        best = min(range(len(parts) - 1), key=lambda i: (rank.get((parts[i], parts[i + 1]), 10**9), i))
+        if (parts[best], parts[best + 1]) not in rank:
+            break
+        a, b = parts[best], parts[best + 1]
+        out, i = [], 0
+        while i < len(parts):  # every occurrence of this pair
+            if i + 1 < len(parts) and (parts[i], parts[i + 1]) == (a, b):
+                out.append(a + b)
+                i += 2
+            else:
+                out.append(parts[i])
+                i += 1
+        parts = out
+    return parts
+
+
+def vocabulary_file(path, letters, merges):
+    vocab = {x: i for i, x in enumerate(dict.fromkeys([*letters, *(a + b for a, b in merges)]))}
+    path.write_text(json.dumps({"model": {"vocab": vocab, "merges": [f"{a} {b}" for a, b in merges]}}))
+    return vocab
+
+
+def test_a_step_back_beyond_what_is_written(tmp_path):
+    letters = [chr(c) for c in range(33, 127)]
+    chain = [(a, b) for a, b in zip(letters, letters[1:])][::-1]  # each merge comes before the one to its left
+    vocab = vocabulary_file(tmp_path / "v.json", letters, chain)
+    t = bpe.Transducer(str(tmp_path / "v.json"))
+    crossed = 0
+    for end in range(2, len(letters) + 1):
+        word = "".join(letters[:end])
+        want = [vocab[x] for x in merged(word, chain)]
+        assert list(t.ids(word.encode())) == want == list(t.walk(word.encode(), hold=0))
+        try:
+            list(t.walk(word.encode()))
+        except bpe.Crossed:
+            crossed += 1
+    assert crossed > 30
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_walk_against_the_plain_merge_loop(tmp_path, seed):
+    rnd = random.Random(seed)
+    letters = list("abcd"[: 2 + seed % 3])
+    made, merges = list(letters), []
+    for _ in range(40):
+        pair = (rnd.choice(made), rnd.choice(made))
+        if pair not in merges and "".join(pair) not in made and len("".join(pair)) <= 12:
+            merges.append(pair)
+            made.append("".join(pair))
+    vocab = vocabulary_file(tmp_path / "v.json", letters, merges)
+    t = bpe.Transducer(str(tmp_path / "v.json"))
+    for n in (1, 7, 60, 400, 3000):
+        word = "".join(rnd.choice(letters) for _ in range(n))
+        want = [vocab[x] for x in merged(word, merges)]
+        assert list(t.ids(word.encode())) == want
+        assert list(t.walk(word.encode(), hold=0)) == want
+
+
+def test_long_stretches_are_those_of_the_library():
+    rnd = random.Random(9)
+    t = bpe.transducer(bpe.DEFAULT_VOCABULARY)
+    for alphabet in ("ab", "etaoin", "abcdefghijklmnopqrstuvwxyz", "xyzzy", "éüaå"):
+        word = "".join(rnd.choice(alphabet) for _ in range(8000))
+        assert list(t.ids(word.encode())) == library([word])[0]
+
+
 def test_encode_and_decode_frames(spark):
     data = [(i, t) for i, t in enumerate(TEXTS)] + [(0, None)]
     df = spark.createDataFrame(data, "doc_id long, text string").withColumn("tokens", F.lit("clash"))
