@@ -1,4 +1,4 @@
-"""Command line: ``python -m lexmill.cli build|validate ...``."""
+"""Command line: ``python -m lexmill.cli build|validate|embed ...``."""
 
 from __future__ import annotations
 
@@ -6,12 +6,14 @@ import argparse
 import json
 
 from lexmill.corpus import Corpus, Options
+from lexmill.operators import vectors
 from lexmill.session import make_session
+from lexmill.sources import files
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lexmill")
-    p.add_argument("action", choices=["build", "validate"])
+    p.add_argument("action", choices=["build", "validate", "embed"])
     p.add_argument("--dir", default=".", help="root of the corpus")
     p.add_argument("--texts", help="folder or file with texts")
     p.add_argument("--metadata", help="catalog file")
@@ -20,6 +22,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--text-format", default="txt")
     p.add_argument("--metadata-id-field", help="catalog field that holds the id")
     p.add_argument("--only-stacks", nargs="+", type=int)
+    p.add_argument("--output", help="folder for the vectors of embed; SRP below the root by default")
+    p.add_argument("--dims", type=int, default=1280, help="length of the vectors of embed")
     p.add_argument("--targets", nargs="+", default=["total_wordcounts"], help="features to store")
     return p
 
@@ -36,6 +40,9 @@ def main(argv: list[str] | None = None) -> int:
         found = corpus.validate()
         print(json.dumps(found))
         return 0 if found["valid"] else 1
+    if args.action == "embed":
+        vectors.write_vectors(corpus.texts(), args.output or files.join(args.dir, "SRP"), args.dims)
+        return 0
     for target in args.targets:
         corpus.cache(target)
     return 0

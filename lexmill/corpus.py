@@ -9,38 +9,40 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import document_words, tokenize
 from lexmill.operators import catalog as cat
 from lexmill.operators import features, vectors
 from lexmill.operators.features import ID
-from lexmill.sources import catalogs, sinks
+from lexmill.sources import catalogs, files, sinks
 from lexmill.sources import texts as sources
 
 Feature = Callable[["Corpus"], DataFrame]
 
 REGISTRY: dict[str, Feature] = {
     "text": lambda c: c.texts(),
-    "tokenization": lambda c: features.tokenization(c.texts()),
-    "document_lengths": lambda c: features.document_lengths(c.texts()),
-    **{name: (lambda c, n=n: features.ngram_counts(c.texts(), n)) for name, n in features.GRAMS.items()},
-    "total_wordcounts": lambda c: features.vocabulary(c.texts()),
+    "tokenization": lambda c: features.tokenization(c.texts(), c.tokens()),
+    "document_lengths": lambda c: features.document_lengths(c.texts(), c.tokens()),
+    **{name: (lambda c, n=n: features.ngram_counts(c.texts(), n, tokens=c.tokens())) for name, n in features.GRAMS.items()},
+    "total_wordcounts": lambda c: features.vocabulary(c.texts(), tokens=c.tokens()),
     "encoded_unigrams": lambda c: features.encode(c.feature("unigrams"), c.feature("total_wordcounts"), 1),
     "encoded_bigrams": lambda c: features.encode(c.feature("bigrams"), c.feature("total_wordcounts"), 2),
     "encoded_trigrams": lambda c: features.encode(c.feature("trigrams"), c.feature("total_wordcounts"), 3),
     "SRP": lambda c: vectors.random_projection(c.texts()).select(f"`{ID}`", "SRP"),
     "SRP_bits": lambda c: vectors.random_projection(c.texts()).select(f"`{ID}`", "SRP_bits"),
 }
+#: Tokenizers by name.
+TOKENIZERS: dict[str, Callable[[Column], Column]] = {"letters": tokenize, "words": document_words}
 #: Other names of features.
 ALIASES = {"document_length": "document_lengths", "srp": "SRP", "word_counts": "unigrams", "encoded_wordcounts": "encoded_unigrams", "SRPFeatures": "SRP", "encodedunigrams": "encoded_unigrams", "encodedbigrams": "encoded_bigrams", "encodedtrigrams": "encoded_trigrams"}
 
 
 @dataclass(frozen=True)
 class Options:
-    """How a corpus is read: ``metadata_field``, ``format`` and ``compression`` of texts, ``id_field`` of the catalog, ``batch_size`` of stacks."""
+    """How a corpus is read: ``metadata_field``, ``format`` and ``compression`` of texts, ``id_field`` of the catalog, ``batch_size`` of stacks, ``tokenizer`` (a name of TOKENIZERS or a function from the text column to an array column)."""
 
     metadata_field: str | None = None
     format: str = "txt"
@@ -48,6 +50,7 @@ class Options:
     id_field: str | None = None
     batch_size: int = 65536
     exclude_fields: tuple[str, ...] = ()
+    tokenizer: str | Callable[[Column], Column] = "letters"
 
 
 class Document:
@@ -66,8 +69,6 @@ class Document:
         return row[0]["text"] if row else None
 
     def tokenize(self) -> list[str]:
-        from lexmill.functions.text import document_words
-
         row = self.corpus.identified_texts().filter(F.col("`@id`") == self.id).select(document_words("text").alias("w")).limit(1).collect()
         return row[0]["w"] if row else []
 
@@ -125,7 +126,7 @@ class Corpus:
 
     # -- catalog
     def _path(self, name: str) -> str:
-        return str(Path(self.root) / name)
+        return files.join(self.root, name)
 
     def _source(self) -> str:
         return next(p for p in (self.sources["metadata"], self.sources["bookstacks"], self.sources["texts"]) if p)
@@ -134,15 +135,15 @@ class Corpus:
     def metadata(self) -> Metadata:
         """The typed catalog; stored under the root and made anew when its source has changed."""
         if self._metadata is None:
-            path, mark = self._path("metadata"), Path(self.root) / "metadata.source"
+            path, mark = self._path("metadata"), self._path("metadata.source")
             now = sinks.fingerprint(self._source())
-            if not (sinks.is_complete(path) and mark.exists() and mark.read_text() == now):
+            if not (sinks.is_complete(path) and files.exists(mark) and files.read_text(mark) == now):
                 raw = self._raw_catalog()
                 id = self.options.id_field or cat.infer_id_field(raw)
                 numbered = cat.assign_ids(raw.drop(*self.options.exclude_fields), id)
                 forms = cat.infer_forms(numbered, "@id")
                 sinks.write_stacks(cat.typed(numbered, forms), path, self.options.batch_size)
-                mark.write_text(now)
+                files.write_text(mark, now)
             self._metadata = Metadata(sinks.read_written(self.spark, path, self.only_stacks))
         return self._metadata
 
@@ -167,6 +168,11 @@ class Corpus:
         """``@id``, ``nc:id``, ``text`` of every document of the catalog; null text where there is none."""
         return self.metadata.id_index().join(self._raw_texts(), "@id", "left")
 
+    def tokens(self) -> Column:
+        """The corpus's tokens as a column over ``text``."""
+        chosen = self.options.tokenizer
+        return (TOKENIZERS[chosen] if isinstance(chosen, str) else chosen)(F.col("text"))
+
     def texts(self) -> DataFrame:
         return self.identified_texts().select(f"`{ID}`", "text")
 

@@ -7,14 +7,19 @@ projection.
 from __future__ import annotations
 
 import json
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmill.functions.text import DATE_LIKE, common_prefix
 from lexmill.operators.features import ID, global_rank
+from lexmill.session import cut, shuffle_width
 
 ID_NAMES = ["@id", "filename", "id"]
 QUANTILES = [0.0, 0.005, 0.05, 0.25, 0.5, 0.75, 0.95, 0.995, 1.0]
@@ -286,12 +291,29 @@ def flat_catalog(df: DataFrame, forms: dict[str, ColumnForm]) -> dict[str, DataF
 def id_distances(df: DataFrame, id: str) -> DataFrame:
     """``id``, ``distance``: leading characters each distinct id shares with the one before it in order; 0 for the first.
 
-    Ids are range-partitioned; the last id of each partition (one per task) is
-    handed to the next.
+    Ids are range-partitioned and sorted in place; the last id of each partition
+    (one per task) is handed to the next.
     """
-    ranked = global_rank(df.select(F.col(_q(id)).cast("string").alias("id")).filter("id is not null").distinct(), [F.asc("id")], "__r")
-    before = ranked.select(F.col("id").alias("__before"), (F.col("__r") + 1).alias("__r"))
-    return ranked.join(before, "__r", "left").select("id", F.coalesce(common_prefix("id", "__before"), F.lit(0)).alias("distance"))
+    held = df.select(F.col(_q(id)).cast("string").alias("id")).filter("id is not null").distinct()
+    ordered = cut(held.repartitionByRange(shuffle_width(df.sparkSession), "id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id()))
+    last = {r["part"]: r["id"] for r in ordered.groupBy("part").agg(F.max("id").alias("id")).collect()}  # one id per task
+    before: dict[int, str | None] = {}
+    latest = None
+    for part in sorted(last):
+        before[part], latest = latest, last[part]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        previous: str | None = None
+        begun = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("id")
+            first = previous if begun else before[batch.column("part")[0].as_py()]
+            yield pa.RecordBatch.from_arrays([ids, pa.concat_arrays([pa.array([first], ids.type), ids[:-1]])], names=["id", "before"])
+            previous, begun = ids[-1].as_py(), True
+
+    return ordered.mapInArrow(run, "id string, before string").select("id", F.coalesce(common_prefix("id", "before"), F.lit(0)).alias("distance"))
 
 
 def split_points(distances: list[int], min_length: int = 256, max_length: int = 16384) -> list[int]:
@@ -311,13 +333,19 @@ def split_points(distances: list[int], min_length: int = 256, max_length: int =
 def chunk_ids(df: DataFrame, id: str, min_length: int = 256, max_length: int = 16384) -> DataFrame:
     """``id``, ``chunk``: ids in order in chunks that share prefixes, of at most ``max_length`` ids.
 
-    One small number per distinct id reaches the driver.
+    The recursion runs on the driver, over two bytes for each distinct id; the
+    cuts, at most one for every ``min_length`` ids, are looked up by bisection.
     """
     ordered = global_rank(id_distances(df, id), [F.asc("id")], "rank")
-    found = [r["distance"] for r in ordered.select("rank", "distance").orderBy("rank").toLocalIterator()]
-    starts = split_points(found, min_length, max_length)
-    at = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>")
-    return ordered.select("id", (F.size(F.filter(at, lambda a: a <= F.col("rank"))) - 1).cast("long").alias("chunk"))
+    found = array("H", (min(r["distance"], 0xFFFF) for r in ordered.select("rank", "distance").orderBy("rank").toLocalIterator(prefetchPartitions=True)))
+    starts = np.array(split_points(found, min_length, max_length), dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunk = np.searchsorted(starts, batch.column("rank").to_numpy(), side="right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(chunk.astype(np.int64))], names=["id", "chunk"])
+
+    return ordered.select("id", "rank").mapInArrow(run, "id string, chunk long")
 
 
 def first_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:

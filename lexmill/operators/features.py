@@ -1,13 +1,20 @@
 """Document-level features: tokens, lengths, n-gram counts, vocabulary, encoded counts.
 
 A feature table has ``nc:id`` and one row per document or per (document, words).
-Texts are spread by ``nc:id`` once, before tokens are exploded: whole texts are
-far smaller than their n-grams, and every count by document finds its rows in
-place, so neither n-grams nor their counts are shuffled.
+Where every document is one row (``one_row_each``) its n-grams are counted where
+it is read and nothing is shuffled.  Else texts are spread by ``nc:id`` once,
+before tokens are exploded: whole texts are far smaller than their n-grams, and
+every count by document finds its rows in place, so neither n-grams nor their
+counts are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,20 +40,55 @@ def tokenization(corpus: DataFrame, tokens: Column | None = None) -> DataFrame:
     return corpus.select(_ID, (tokenize("text") if tokens is None else tokens).alias("tokenization"))
 
 
-def document_lengths(corpus: DataFrame) -> DataFrame:
+def document_lengths(corpus: DataFrame, tokens: Column | None = None) -> DataFrame:
     """``nc:id``, ``nwords``: tokens of each document, empty ones included."""
-    return corpus.select(_ID, document_length(tokenize("text")).alias("nwords"))
+    return corpus.select(_ID, document_length(tokenize("text") if tokens is None else tokens).alias("nwords"))
+
+
+#: Tokens whose n-grams are counted at once; a longer document goes alone.
+SLICE_TOKENS = 1 << 20
 
 
-def ngram_counts(corpus: DataFrame, n: int, end_tokens: list[str] | None = None) -> DataFrame:
+def _counted_in_place(batches: Iterator[pa.RecordBatch], n: int, ends: list[str]) -> Iterator[pa.RecordBatch]:
+    """Counts of the n-grams of each row of (id, tokens), column-wise over many rows."""
+    words = word_names(n)
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+        part = (np.cumsum(sizes) - sizes) // SLICE_TOKENS
+        edges = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(sizes)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            rows = batch.slice(a, b - a)
+            flat = pc.list_flatten(rows.column(1))
+            row = pc.list_parent_indices(rows.column(1)).to_numpy()
+            starts = np.arange(max(len(flat) - n + 1, 0))
+            whole = starts[row[starts] == row[starts + n - 1]] if len(starts) else starts  # within one document
+            if not len(whole):
+                continue
+            columns = {w: flat.take(pa.array(whole + k)) for k, w in enumerate(words)}
+            grams = pa.table({"row": pa.array(row[whole]), **columns})
+            for w in words[:-1] if ends else []:
+                grams = grams.filter(pc.invert(pc.is_in(grams[w], pa.array(ends))))
+            found = grams.group_by(["row", *words]).aggregate([([], "count_all")])
+            ids = rows.column(0).take(found["row"].combine_chunks())
+            yield from pa.table({ID: ids, **{w: found[w] for w in words}, "count": found["count_all"]}).combine_chunks().to_batches()
+
+
+def ngram_counts(corpus: DataFrame, n: int, end_tokens: list[str] | None = None, one_row_each: bool = False, tokens: Column | None = None) -> DataFrame:
     """``nc:id``, ``word0``.., ``count``: runs of ``n`` tokens per document.
 
     Runs never cross documents; a document shorter than ``n`` has none.  With
-    ``end_tokens`` no run goes on past one of these tokens.
+    ``end_tokens`` no run goes on past one of these tokens.  ``one_row_each``
+    says that no ``nc:id`` is repeated (where it is, each row is counted by
+    itself); another tokenizer may be given as ``tokens``, a column over ``text``.
     """
-    placed = corpus.repartition(F.col(_ID))
-    grams = placed.select(_ID, F.inline(ngrams(tokenize("text"), n)))
+    tokens = tokenize("text") if tokens is None else tokens
     words = word_names(n)
+    if one_row_each:
+        schema = f"`{ID}` long, " + ", ".join(f"{w} string" for w in words) + ", count long"
+        ends = end_tokens if end_tokens and n > 1 else []
+        return corpus.select(_ID, tokens.alias("t")).mapInArrow(lambda batches: _counted_in_place(batches, n, ends), schema)
+    placed = corpus.repartition(F.col(_ID))
+    grams = placed.select(_ID, F.inline(ngrams(tokens, n)))
     if end_tokens and n > 1:
         grams = grams.filter(~F.greatest(*[F.col(w).isin(end_tokens).cast("int") for w in words[:-1]], F.lit(0)).cast("boolean"))
     return grams.groupBy(_ID, *words).agg(F.count("*").alias("count"))
@@ -92,9 +134,9 @@ def global_rank(df: DataFrame, order: list[Column], name: str, tasks: int | None
     return ordered.withColumn(name, F.element_at(ahead, (part + 1).cast("int")) + place).drop("__at")
 
 
-def vocabulary(corpus: DataFrame, cap: int | None = VOCABULARY_CAP) -> DataFrame:
+def vocabulary(corpus: DataFrame, cap: int | None = VOCABULARY_CAP, tokens: Column | None = None) -> DataFrame:
     """``token``, ``count``, ``wordid``: tokens by falling count, of equals the smaller first; the first ``cap`` of them."""
-    counts = corpus.select(F.explode(tokenize("text")).alias("token")).groupBy("token").agg(F.count("*").alias("count"))
+    counts = corpus.select(F.explode(tokenize("text") if tokens is None else tokens).alias("token")).groupBy("token").agg(F.count("*").alias("count"))
     ranked = global_rank(counts, [F.desc("count"), F.asc("token")], "wordid")
     return ranked if cap is None else ranked.filter(F.col("wordid") < cap)
 

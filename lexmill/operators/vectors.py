@@ -11,6 +11,7 @@ positive element.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import bits_to_longs, hamming, tokenize
+from lexmill.session import cut
 
 DIMS = 1280
 SCALE = 1e5
@@ -82,6 +84,23 @@ def random_projection(corpus: DataFrame, dims: int = DIMS) -> DataFrame:
     return corpus.select("`nc:id`", tokenize("text").alias("t")).mapInArrow(run, "`nc:id` long, SRP array<float>, SRP_bits binary")
 
 
+def write_vectors(corpus: DataFrame, path: str, dims: int = DIMS) -> None:
+    """A job: ``nc:id``, vector and packed sign bits of every document as one Parquet table; an old one is replaced."""
+    random_projection(corpus, dims).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def nearest_pairs(pairs: DataFrame, about: DataFrame, k: int = 20) -> DataFrame:
+    """The ``k`` pairs of least distance (of equals the smaller ids) with what a catalog says of both: a report.
+
+    ``about`` has ``a`` (the id) and columns that end in ``_a``; they come a
+    second time for b, ending in ``_b``.  The pairs are cut to ``k`` before they
+    meet the catalog.
+    """
+    top = pairs.orderBy("distance", "a", "b").limit(k)
+    other = about.toDF(*[c[:-1] + "b" if c.endswith("_a") else "b" for c in about.columns])
+    return about.join(F.broadcast(top), "a").join(other, "b").select("a", "b", "distance", *[c for c in about.columns if c != "a"], *[c for c in other.columns if c != "b"])
+
+
 def sign_words(vector: Column | str, dims: int) -> Column:
     """Signs of an array of numbers as 64-bit numbers, the first element in the highest bit (JVM only)."""
     v = F.col(vector) if isinstance(vector, str) else vector
@@ -102,21 +121,50 @@ def signature_classes(df: DataFrame, id: str, words: str) -> DataFrame:
     return held.join(first, F.col(words) == F.col("__words")).select(id, "class")
 
 
+def choose_bands(rows: int, dims: int, most: int) -> tuple[int, int]:
+    """Bands, and flips in a band, that meet the fewest candidates.
+
+    Signatures within ``most`` bits differ in ``most // bands`` bits or fewer in
+    one of the bands.  Many bands are narrow and meet by chance, few have to be
+    looked up with bits flipped; what both cost follows from the number of rows.
+    """
+
+    def cost(bands: int) -> float:
+        width, flips = dims // bands, most // bands
+        looked = bands * sum(math.comb(width, k) for k in range(flips + 1))
+        return rows * looked + rows * rows * looked / 2.0**width
+
+    fit = [m for m in range(1, most + 2) if m == most + 1 or dims // m < 63 and sum(math.comb(-(-dims // m), k) for k in range(most // m + 1)) <= MOST_FLIPPED]
+    bands = min(fit, key=lambda m: (cost(m), m))
+    return bands, most // bands
+
+
+#: Flipped forms of a band that are looked up at most.
+MOST_FLIPPED = 4096
+
+
 def close_pairs(df: DataFrame, id: str, words: str, dims: int, most: int) -> DataFrame:
     """``a``, ``b`` (a < b), ``distance``: pairs of classes whose signatures differ in at most ``most`` bits.
 
     A class is named by its smallest id and stands for all copies of its
     signature (see :func:`signature_classes`), so copies are neither collected
-    nor paired.  By the pigeonhole principle such signatures agree in one of
-    most+1 bands: pairs are found by an equi-join on (band, its bits), and none
-    is missed.
+    nor paired.  Signatures are cut into bands (see :func:`choose_bands`) of
+    which one at least must nearly agree: pairs are found by an equi-join on
+    (band, its bits), one side with up to so many bits flipped, and none is missed.
     """
-    bands = most + 1
+    signatures = cut(df.filter(F.col(words).isNotNull()).groupBy(F.col(words).alias("words")).agg(F.min(id).alias("id")))
+    bands, flips = choose_bands(signatures.count(), dims, most)
     at = [round(i * dims / bands) for i in range(bands + 1)]
-    signatures = df.filter(F.col(words).isNotNull()).groupBy(F.col(words).alias("words")).agg(F.min(id).alias("id"))
     bits = F.concat_ws("", F.transform("words", lambda x: F.lpad(F.conv(x.cast("string"), 10, 2), 64, "0")))
     cuts = F.array(*[F.substring("shown", lo + 1, hi - lo) for lo, hi in zip(at, at[1:])])
     keys = signatures.withColumn("shown", bits).select("id", "words", F.posexplode(cuts).alias("band", "bits"))
     left, right = keys.withColumnsRenamed({"id": "a", "words": "wa"}), keys.withColumnsRenamed({"id": "b", "words": "wb"})
+    if flips:
+        width = max(hi - lo for lo, hi in zip(at, at[1:]))
+        masks = sorted(sum(1 << i for i in on) for k in range(flips + 1) for on in itertools.combinations(range(width), k))
+        number = F.conv("bits", 2, 10).cast("long")
+        left = left.withColumn("bits", number)
+        flipped = F.transform(F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>"), lambda m: number.bitwiseXOR(m))
+        right = right.select("b", "wb", "band", F.explode(flipped).alias("bits"))
     met = left.join(right, ["band", "bits"]).filter("a < b").withColumn("distance", hamming(F.col("wa"), F.col("wb")).cast("long"))
     return met.filter(F.col("distance") <= most).select("a", "b", "distance").distinct()

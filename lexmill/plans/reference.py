@@ -66,7 +66,7 @@ SELECT "nc:id", token, count(*) AS count FROM w GROUP BY ALL
 
 def _grams(name: str, n: int) -> None:
     def run(spark, sf_dir):
-        return features.ngram_counts(corpus(spark, sf_dir), n)
+        return features.ngram_counts(corpus(spark, sf_dir), n, one_row_each=True)  # doc_id is unique
 
     QUERIES[name] = run
     words = ", ".join(f"t[i + {k}] AS word{k}" for k in range(n))
@@ -96,25 +96,26 @@ _VOCAB = f"""{_P}, v AS (SELECT t[i] AS token, count(*) AS count FROM p GROUP BY
 ORACLES["vocabulary"] = f"WITH {_VOCAB} SELECT * FROM vocab WHERE wordid < 1000000"
 
 
-def _encoded(name: str, n: int, cap: int) -> None:
-    """The query takes the whole vocabulary (up to VOCABULARY_CAP); its SQL still has ``cap``, so the two part where a corpus has more tokens."""
-
-    def run(spark, sf_dir):
-        c = corpus(spark, sf_dir)
-        return features.encode(features.ngram_counts(c, n), features.vocabulary(c), n)
-
-    QUERIES[name] = run
+def encoded_sql(n: int, cap: int) -> str:
     words = ", ".join(f"t[i + {k}] AS w{k}" for k in range(n))
     names = ["wordid"] if n == 1 else [f"word{k + 1}" for k in range(n)]
     ids = ", ".join(f"v{k}.wordid AS {x}" for k, x in enumerate(names))
     joins = " ".join(f"LEFT JOIN capped v{k} ON v{k}.token = g.w{k}" for k in range(n))
-    ORACLES[name] = f"""
+    return f"""
 WITH {_VOCAB}, capped AS (SELECT * FROM vocab WHERE wordid < {cap}), g AS (SELECT "nc:id", {words}, count(*) AS count FROM p WHERE i + {n - 1} <= len(t) GROUP BY ALL)
 SELECT g."nc:id", {ids}, g.count FROM g {joins}"""
 
 
+def _encoded(name: str, n: int) -> None:
+    def run(spark, sf_dir):
+        c = corpus(spark, sf_dir)
+        return features.encode(features.ngram_counts(c, n, one_row_each=True), features.vocabulary(c), n)
+
+    QUERIES[name], ORACLES[name] = run, encoded_sql(n, features.VOCABULARY_CAP)
+
+
 for _name, _n in (("encoded_unigrams", 1), ("encoded_bigrams", 2), ("encoded_trigrams", 3)):
-    _encoded(_name, _n, 5000)
+    _encoded(_name, _n)
 
 
 @query

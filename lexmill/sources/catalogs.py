@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from pathlib import Path
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmill.operators.catalog import wrap_arrays
+from lexmill.sources import files
 
 
 def read_ndjson(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
@@ -37,35 +39,73 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=True, sep=sep, multiLine=True, escape='"')
 
 
+ENDINGS = ("ndjson", "json", "jsonl", "csv", "tsv", "feather", "arrow", "parquet")
 #: Signed types that hold what unsigned ones may; fixed values.
 SIGNED = {"uint8": "int16", "uint16": "int32", "uint32": "int64", "uint64": "decimal128(20, 0)"}
 
 
-def read_feather(spark: SparkSession, path: str) -> DataFrame:
-    """A Feather file; unsigned numbers get the next signed type, dictionaries their values."""
+def _spark_ready(t):
+    """An Arrow table in types that Spark has: unsigned numbers in the next signed type, dictionaries as their values, times and nulls as strings."""
     import pyarrow as pa
-    from pyarrow import feather
 
-    t = feather.read_table(path)
     for i, f in enumerate(t.schema):
         column = t.column(i)
         if pa.types.is_dictionary(f.type):
             column = column.cast(f.type.value_type)
         elif str(f.type) in SIGNED:
             column = column.cast(pa.decimal128(20, 0) if f.type == pa.uint64() else pa.type_for_alias(SIGNED[str(f.type)]))
-        elif pa.types.is_time(f.type):
-            column = column.cast(pa.string())
-        elif pa.types.is_null(f.type):
+        elif pa.types.is_time(f.type) or pa.types.is_null(f.type):
             column = column.cast(pa.string())
         t = t.set_column(i, f.name, column)
-    return spark.createDataFrame(t)
+    return t
+
+
+def read_feather(spark: SparkSession, path: str) -> DataFrame:
+    """Feather files, a task each: one file or all of a folder, on any file system; unsigned numbers get the next signed type, dictionaries their values.
+
+    The columns are those of the first file by path; a file that lacks one has nulls.
+    """
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+
+    def table(content: bytes):
+        import pyarrow as pa
+        from pyarrow import feather
+
+        return _spark_ready(feather.read_table(pa.BufferReader(content)))
+
+    def schema_of(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import from_arrow_schema
+
+        for b in batches:
+            shown = [from_arrow_schema(table(x).slice(0, 0).schema).json() for x in b.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(shown, pa.string())], names=["schema"])
+
+    first = content.orderBy("path").limit(1).select("content").mapInArrow(schema_of, "schema string").first()
+    if first is None:
+        raise FileNotFoundError(path)
+    schema = T.StructType.fromJson(json.loads(first["schema"]))
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        wanted = to_arrow_schema(schema)
+        for b in batches:
+            for x in b.column("content").to_pylist():
+                t = table(x)
+                columns = {f.name: t.column(f.name).cast(f.type) if f.name in t.column_names else pa.nulls(t.num_rows, f.type) for f in wanted}
+                yield from pa.table(columns, schema=wanted).to_batches()
+
+    return content.select("content").mapInArrow(run, schema)
 
 
 def read_catalog(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
-    """A catalog by its ending (``.gz`` aside); a folder holds Parquet stacks."""
-    p = Path(path)
-    name = p.name.removesuffix(".gz")
-    kind = format or ("parquet" if p.is_dir() else "ndjson" if name == "jsoncatalog.txt" else name.rpartition(".")[2])
+    """A catalog by its ending (``.gz`` aside); a folder without one that is known holds Parquet stacks."""
+    name = files.name_of(path).removesuffix(".gz")
+    kind = format or ("ndjson" if name == "jsoncatalog.txt" else name.rpartition(".")[2])
+    if kind not in ENDINGS and files.is_folder(path, spark):
+        kind = "parquet"
     if kind in ("ndjson", "json", "jsonl"):
         return read_ndjson(spark, path)
     if kind in ("csv", "tsv"):
@@ -120,3 +160,43 @@ def load_settings(folder: str, name: str = ".lexmill.yaml") -> dict:
                     out[key.strip()] = value.strip().strip("\"'")
             return out
     return {}
+
+
+def schema_to_text(schema: T.StructType) -> str:
+    """A schema as YAML: for each column its type (that of its elements for a list) and whether it is a list."""
+    out = []
+    for f in schema:
+        is_list = isinstance(f.dataType, T.ArrayType)
+        kind = f.dataType.elementType if is_list else f.dataType
+        out.append(f"{json.dumps(f.name, ensure_ascii=False)}:\n  type: {json.dumps(kind.simpleString())}\n  list: {str(is_list).lower()}\n")
+    return "".join(out)
+
+
+def schema_from_text(text: str) -> T.StructType:
+    """The schema that :func:`schema_to_text` wrote; also of names and types without quotes, and of Arrow's names of types."""
+    arrow = {"int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "float32": "float", "float64": "double", "utf8": "string", "large_string": "string", "bool": "boolean", "bool_": "boolean", "date32": "date"}
+    fields: list[tuple[str, dict]] = []
+    bare = lambda x: json.loads(x) if x.startswith('"') else x.strip("'")
+    for line in text.splitlines():
+        if not line.strip() or line.lstrip().startswith("#"):
+            continue
+        key, _, value = (line.rpartition(":") if line.rstrip().endswith(":") else line.partition(": "))
+        if not line[0].isspace():
+            fields.append((bare(key.strip()), {}))
+        else:
+            fields[-1][1][key.strip()] = bare(value.strip())
+    out = []
+    for name, about in fields:
+        kind = about.get("type") or about.get("arrow_type") or "string"
+        kind = arrow.get(kind, kind)
+        out.append(f"`{name.replace('`', '``')}` {f'array<{kind}>' if about.get('list') == 'true' else kind}")
+    return T._parse_datatype_string(", ".join(out)) if out else T.StructType([])
+
+
+def read_schema(spark: SparkSession, path: str) -> T.StructType:
+    """A stored schema; empty if there is none."""
+    return schema_from_text(files.read_text(path, spark)) if files.exists(path, spark) else T.StructType([])
+
+
+def write_schema(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    files.write_text(path, schema_to_text(schema), spark)

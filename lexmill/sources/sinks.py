@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmill.operators.catalog import stack_of
 from lexmill.operators.features import ID
+from lexmill.sources import files
 
 
 def write_stacks(df: DataFrame, path: str, batch_size: int = 65536) -> None:
     """A table by stacks of ``batch_size`` documents: the partition column is ``stack``."""
-    df.withColumn("stack", stack_of(batch_size)).repartition("stack").write.mode("overwrite").option("compression", "zstd").partitionBy("stack").parquet(path)
+    df.withColumn("stack", stack_of(batch_size)).repartition("stack").sortWithinPartitions("stack", f"`{ID}`").write.mode("overwrite").option("compression", "zstd").partitionBy("stack").parquet(path)
 
 
 def read_written(spark: SparkSession, path: str, only_stacks: list[int] | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -34,30 +34,49 @@ def export(catalog: DataFrame, features: dict[str, DataFrame]) -> DataFrame:
 
 
 class StackBuilder:
-    """Documents added one by one and written as Parquet files of at most ``max_docs_in_file`` documents."""
+    """Documents added one by one and written as Parquet files of at most ``max_docs_in_file`` documents, in row groups of at most ``max_docs_in_batch``.
+
+    Documents are kept as Arrow batches of ``max_docs_in_batch`` until their file
+    is full, so the driver holds one file's documents.
+    """
 
     KEYS = ("text", "tokenization")
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, max_docs_in_file: int = 16384, max_docs_in_batch: int = 128) -> None:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
         self.spark, self.path, self.schema = spark, path, schema
-        self.max_docs_in_file, self.max_docs_in_batch = max_docs_in_file, max_docs_in_batch
+        self.max_docs_in_file, self.max_docs_in_batch = max_docs_in_file, min(max_docs_in_batch, max_docs_in_file)
+        self.arrow = to_arrow_schema(schema)
         self.rows: list[dict] = []
+        self.batches: list[pa.RecordBatch] = []
         self.files = 0
 
     def add(self, metadata: dict, **content) -> None:
         if unknown := set(content) - set(self.KEYS):
             raise KeyError(f"only {' and '.join(self.KEYS)} can be added, not {', '.join(sorted(unknown))}")
         self.rows.append(metadata | {f"nc:{k}": v for k, v in content.items()})
-        if len(self.rows) >= self.max_docs_in_file:
+        held = sum(b.num_rows for b in self.batches) + len(self.rows)
+        if len(self.rows) >= self.max_docs_in_batch or held >= self.max_docs_in_file:
+            self._batch()
+        if held >= self.max_docs_in_file:
             self.flush()
 
+    def _batch(self) -> None:
+        if self.rows:
+            columns = [pa.array([r.get(f.name) for r in self.rows], f.type) for f in self.arrow]
+            self.batches.append(pa.RecordBatch.from_arrays(columns, schema=self.arrow))
+            self.rows = []
+
     def flush(self) -> None:
-        """Write what is held; columns of the schema that a document lacks are null."""
-        if not self.rows:
+        """Write what is held as one file; columns of the schema that a document lacks are null."""
+        self._batch()
+        if not self.batches:
             return
-        data = [tuple(r.get(f.name) for f in self.schema) for r in self.rows]
-        self.spark.createDataFrame(data, self.schema).coalesce(1).write.mode("append").option("compression", "zstd").parquet(self.path)
-        self.rows, self.files = [], self.files + 1
+        held = self.spark.createDataFrame(pa.Table.from_batches(self.batches, self.arrow), self.schema)
+        writer = held.coalesce(1).write.mode("append").option("compression", "zstd").option("parquet.block.row.count.limit", str(self.max_docs_in_batch))
+        writer.parquet(self.path)
+        self.batches, self.files = [], self.files + 1
 
     def __enter__(self) -> StackBuilder:
         return self
@@ -67,11 +86,9 @@ class StackBuilder:
 
 
 def is_complete(path: str) -> bool:
-    return (Path(path) / "_SUCCESS").exists()
+    return files.exists(files.join(path, "_SUCCESS"))
 
 
 def fingerprint(path: str) -> str:
     """Size and time of change of a source, to tell whether what was made of it is still good."""
-    p = Path(path)
-    files = sorted(x for x in p.rglob("*") if x.is_file()) if p.is_dir() else [p]
-    return ";".join(f"{x.name}:{x.stat().st_size}:{x.stat().st_mtime_ns}" for x in files)
+    return ";".join(f"{files.name_of(name)}:{size}:{changed}" for name, size, changed in files.files_below(path))

@@ -3,25 +3,18 @@
 from __future__ import annotations
 
 import re
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.operators.catalog import first_wins, infer_id_field
+from lexmill.sources import files as at_files
 
 
 def _empty_files(spark: SparkSession, path: str, ending: str) -> list[str]:
     """Names of files without content, which Spark's readers pass over."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
-    names = []
-    while files.hasNext():
-        f = files.next()
-        if f.getLen() == 0 and f.getPath().getName().endswith(ending):
-            names.append(f.getPath().getName().removesuffix(ending))
-    return names
+    found = [at_files.name_of(name) for name, size, _ in at_files.files_below(path, spark) if not size]
+    return [name.removesuffix(ending) for name in found if name.endswith(ending)]
 
 
 def read_folder(spark: SparkSession, path: str, format: str = "txt", compression: str | None = None) -> DataFrame:
@@ -83,7 +76,7 @@ def read_texts(spark: SparkSession, path: str, format: str = "txt", compression:
     """A folder, one file of lines, or Parquet stacks, whichever ``path`` is."""
     if format == "parquet":
         return stack_texts(read_stacks(spark, path))
-    if Path(path).is_dir():
+    if at_files.is_folder(path, spark):
         return read_folder(spark, path, format, compression)
     return read_lines(spark, path)
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from lexmill import cli
 from lexmill.corpus import Corpus, Options
-from lexmill.sources import catalogs, sinks, texts
+from lexmill.sources import catalogs, files, sinks, texts
 from lexmill.streaming.incremental import document_stream, running_counts
 from tests.conftest import rows
 
@@ -150,3 +150,35 @@ def test_stream_counts(spark, tmp_path):
     q = counts.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(60)
     assert rows(spark.table("counted")) == [("a", 2), ("b", 1)]
+
+
+def test_a_root_with_a_scheme(spark, folder):
+    root = f"file://{folder.parent}/root"
+    c = Corpus(spark, root, texts=f"file://{folder}", cache=frozenset({"document_lengths"}))
+    assert dict(rows(c.feature("document_lengths", ids="@id"))) == {"a": 9, "b": 1, "г": 3}
+    assert files.is_folder(f"{root}/metadata") and files.exists(f"{root}/metadata.source")
+    written = files.files_below(f"{root}/document_lengths")
+    assert Corpus(spark, root, texts=f"file://{folder}").metadata.tb.count() == 3 and files.files_below(f"{root}/document_lengths") == written
+    assert files.join("hdfs://nn/a/", "b") == "hdfs://nn/a/b" and files.join("", "b") == "b" and files.join("/", "b") == "/b" and files.name_of("x://y/z/") == "z"
+    assert files.files_below(f"{root}/nothing") == []
+
+
+def test_schema_as_text():
+    schema = T.StructType([T.StructField("@id", T.StringType()), T.StructField("a: b", T.ArrayType(T.LongType())), T.StructField("d", T.DecimalType(10, 2)), T.StructField("s", T.StructType([T.StructField("x", T.IntegerType())]))])
+    assert catalogs.schema_from_text(catalogs.schema_to_text(schema)) == schema
+    assert catalogs.schema_from_text("# old form\nyear:\n  arrow_type: int64\n  list: false\nkeys:\n  arrow_type: string\n  list: true\n").simpleString() == "struct<year:bigint,keys:array<string>>"
+    assert catalogs.schema_from_text("") == T.StructType([])
+
+
+def test_vectors_from_the_command_line(spark, folder):
+    assert cli.main(["embed", "--dir", str(folder.parent / "e"), "--texts", str(folder), "--dims", "64"]) == 0
+    got = spark.read.parquet(str(folder.parent / "e" / "SRP"))
+    assert got.count() == 3 and {len(r["SRP"]) for r in got.collect()} == {64}
+
+
+def test_another_tokenizer(spark, folder):
+    c = Corpus(spark, str(folder.parent / "t"), texts=str(folder), options=Options(tokenizer="words"))
+    assert dict(rows(c.feature("document_lengths", ids="@id")))["a"] == 9
+    assert [r["word0"] for r in c.feature("unigrams").orderBy("word0").collect()][:2] == [",", "."]
+    c = Corpus(spark, str(folder.parent / "u"), texts=str(folder), options=Options(tokenizer=lambda t: F.split(t, " ")))
+    assert dict(rows(c.feature("document_lengths", ids="@id")))["a"] == 6

@@ -1,6 +1,8 @@
+import random
 import re
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -168,3 +170,33 @@ def test_close_pairs_by_hand(spark):
     want = [(i, j, bin(values[i] ^ values[j]).count("1")) for i in reps for j in reps if i < j]
     assert rows(vectors.close_pairs(df, "id", "w", 64, 5)) == sorted((x for x in want if x[2] <= 5), key=repr)
     assert dict(rows(vectors.signature_classes(df, "id", "w"))) == {i: first[v] for i, v in enumerate(values)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_counts_in_place_are_those_after_a_shuffle(spark, n, monkeypatch):
+    monkeypatch.setattr(features, "SLICE_TOKENS", 7)
+    texts = [None, "", "a", "a b a b a", "a. b, a b", "x" * 500, "long " * 400, "é é É"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "`nc:id` long, text string").repartition(2)
+    for ends in (None, [""]):
+        assert rows(features.ngram_counts(df, n, ends, one_row_each=True)) == rows(features.ngram_counts(df, n, ends))
+    assert rows(features.ngram_counts(df.limit(0), n, one_row_each=True)) == []
+
+
+@pytest.mark.parametrize("most", [1, 5, 16])
+def test_close_pairs_whatever_the_bands(spark, most, monkeypatch):
+    rnd = random.Random(most)
+    base = [rnd.getrandbits(64) for _ in range(12)]
+    signs = [b ^ sum(1 << i for i in rnd.sample(range(64), rnd.randrange(0, 20))) for b in base for _ in range(5)]
+    signed = [[x - (1 << 64) if x >> 63 else x] for x in signs]
+    df = spark.createDataFrame(list(enumerate(signed)), "id long, words array<long>")
+    first = {}
+    for i, x in enumerate(signs):
+        first.setdefault(x, i)
+    want = sorted(((first[x], first[y], bin(x ^ y).count("1")) for x in first for y in first if first[x] < first[y] and bin(x ^ y).count("1") <= most), key=repr)
+    for bands in {1 + most // 3, 1 + most, vectors.choose_bands(60, 64, most)[0]}:
+        if bands <= most and 64 // bands > 16:
+            continue
+        monkeypatch.setattr(vectors, "choose_bands", lambda *_, m=bands: (m, most // m))
+        assert rows(vectors.close_pairs(df, "id", "words", 64, most)) == want
+    monkeypatch.undo()
+    assert vectors.choose_bands(10**9, 1280, 16) == (17, 0) and vectors.choose_bands(10**6, 64, 16)[1] > 0
