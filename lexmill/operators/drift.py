@@ -239,15 +239,17 @@ def _renames(parsed: DataFrame, steps: DataFrame, files: DataFrame, like: Likene
     alike = (filled <= apart) & (((shapes >= like.shape) & (words >= like.words)) | few)
     scored = met.filter(alike).select("feed", "seq", "old_key", "key", (shapes + words - filled).alias("score"))
 
-    def choose(pairs: pd.DataFrame) -> pd.DataFrame:
-        taken, rows = set(), []
-        for r in pairs.sort_values(["score", "old_key", "key"], ascending=[False, True, True]).itertuples():
-            if ("old", r.old_key) not in taken and ("new", r.key) not in taken:
-                taken |= {("old", r.old_key), ("new", r.key)}
-                rows.append((r.feed, r.seq, r.old_key, r.key))
-        return pd.DataFrame(rows, columns=["feed", "seq", "old_key", "key"])
-
-    return scored.groupBy("feed", "seq").applyInPandas(choose, "feed string, seq int, old_key string, key string")  # a group is the few alike keys of one file
+    # the most alike first, every key once; a group is the few alike keys of one file
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("apart"), "old_key", "key")))
+    start = F.struct(F.array().cast("array<string>").alias("old"), F.array().cast("array<string>").alias("new"))
+
+    def take(taken: Column, pair: Column) -> Column:
+        free = ~F.array_contains(taken["old"], pair["old_key"]) & ~F.array_contains(taken["new"], pair["key"])
+        more = F.struct(F.concat(taken["old"], F.array(pair["old_key"])).alias("old"), F.concat(taken["new"], F.array(pair["key"])).alias("new"))
+        return F.when(free, more).otherwise(taken)
+
+    chosen = scored.groupBy("feed", "seq").agg(ordered.alias("pairs")).select("feed", "seq", F.aggregate("pairs", start, take).alias("t"))
+    return chosen.select("feed", "seq", F.explode(F.arrays_zip(F.col("t.old").alias("old_key"), F.col("t.new").alias("key"))).alias("z")).select("feed", "seq", "z.old_key", "z.key")
 
 
 def schema_changes(lines: DataFrame, like: Likeness = Likeness()) -> DataFrame:
