@@ -454,7 +454,7 @@ def name_entities(names: DataFrame) -> DataFrame:
     held = names.filter(F.col("name").isNotNull() & ~F.trim("name").isin(PLACEHOLDERS)).select("name").distinct()
     width = shuffle_width(names.sparkSession)
     parts = cut(settle_order(cut(parsed_names(held.repartition(width)))))  # few bytes, but dear to parse: never coalesced
-    links = cut(supported_links(cut(vocabulary(parts))))
+    links = cut(supported_links(cut(vocabulary(parts).repartition(width))))  # each word becomes many segments
     settled = cut(roots(links.filter("role <> 'g'")))
     of = lambda role: settled.filter(F.col("role") == role)
 
