@@ -82,8 +82,8 @@ def _leaf(df: DataFrame, name: str) -> tuple[T.DataType, bool]:
 
 
 def integer_like(c: Column) -> Column:
-    """Digits with an optional minus, as strict as a lossless cast: no plus sign, blanks or fraction."""
-    return c.cast("string").rlike(r"^-?[0-9]{1,19}$") & c.try_cast("bigint").isNotNull()
+    """Digits with an optional minus, as strict as a lossless cast: no plus sign, blanks or fraction; null for null."""
+    return F.when(c.isNotNull(), c.cast("string").rlike(r"^-?[0-9]{1,19}$") & c.try_cast("bigint").isNotNull())
 
 
 def float_like(c: Column) -> Column:

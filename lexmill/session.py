@@ -16,6 +16,7 @@ DEFAULTS = {
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -56,7 +57,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder: later reads start from there."""
+    """``df`` written to the checkpoint folder: later reads start from there.
+
+    Spark removes the files with the last reference to them where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as ``make_session`` does.
+    """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -95,3 +95,9 @@ def test_quantiles_of_other_types(spark):
     df = spark.createDataFrame([("a",), ("c",), (None,)], "s string")
     assert rows(catalog.quantiles(df, "s")) == [(0.0, "a"), (1.0, "c")]
     assert rows(catalog.cardinality(df, ["s"])) == [("s", 3, 3)]
+
+
+def test_nulls_do_not_keep_a_column_from_being_whole_numbers(spark):
+    df = spark.createDataFrame([("1", 1600, "5", [1, None]), ("2", None, None, None), ("3", 1949, "70000", [2])], "id string, y long, s string, l array<long>")
+    forms = catalog.infer_forms(df, "id")
+    assert [(forms[c].form, forms[c].spark_type) for c in ("y", "s", "l")] == [("integer", "smallint"), ("integer", "int"), ("integer", "array<tinyint>")]
