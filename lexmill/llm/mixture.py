@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 from lexmill.llm.bpe import DEFAULT_VOCABULARY, count_tokens
 from lexmill.session import cut
 
-BUCKETS = 256
+#: Buckets of a leaf's order: so many, or more where a bucket would hold more documents than a task should sort.
+BUCKETS, BUCKET_DOCUMENTS = 256, 100_000
 
 
 @dataclass
@@ -85,7 +86,7 @@ def source_name(column: str):
     return F.lower(F.trim(F.regexp_replace(F.col(f"`{column}`"), r"^\s+|\s+$", "")))
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 1, path: str = DEFAULT_VOCABULARY, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 1, path: str = DEFAULT_VOCABULARY, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The mixture and its report.
 
     The mixture has ``doc_id``, ``source``, ``tokens`` and ``times`` (how often
@@ -98,7 +99,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     and documents without tokens aren't used.  A target without documents
     reports 0.  The domain of a source is its name up to the first underscore;
     the languages of a source are weighted as they occur.  Repeated target rows
-    count once (of differing ones the greatest share).  Ties in the seeded order
+    count once (of differing ones the greatest share).  ``buckets`` changes how the work is cut, not the result.  Ties in the seeded order
     go by ``doc_id``; rows with equal ids and texts are documents of their own.
     """
     spark = documents.sparkSession
@@ -106,7 +107,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     wanted = [r.asDict() for r in targets.groupBy(source_name("source").alias("source")).agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats")).filter("source is not null").collect()]  # one row per target
     sized = sized.filter(F.col("source").isin([w["source"] for w in wanted]))
     sized = cut(count_tokens(sized, "text", "tokens", path).filter("tokens > 0"))
-    leaves = sized.groupBy("source", "lang").agg(F.sum("tokens").alias("n")).collect()  # targets x languages
+    leaves = sized.groupBy("source", "lang").agg(F.sum("tokens").alias("n"), F.count("*").alias("documents")).collect()  # targets x languages
+    buckets = buckets or max([BUCKETS, *(-(-r["documents"] // BUCKET_DOCUMENTS) for r in leaves)])
     supply: dict[str, int] = {}
     for r in leaves:
         supply[r["source"]] = supply.get(r["source"], 0) + r["n"]

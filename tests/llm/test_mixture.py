@@ -44,6 +44,7 @@ def test_mix(spark):
     again, _ = mixture.mix(d.repartition(7), t, total_tokens=1000)
     assert rows(again) == rows(used)
     assert rows(mixture.mix(d, t, total_tokens=1000, seed=2)[0]) != rows(used)
+    assert all(rows(mixture.mix(d, t, total_tokens=1000, buckets=n)[0]) == rows(used) for n in (1, 7, 5000))
 
 
 def test_empty_tables(spark):
