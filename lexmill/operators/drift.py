@@ -67,7 +67,7 @@ _NAME = re.compile(r"`(?:[^`]|``)*`|[^:`<>,]+")
 
 @lru_cache(maxsize=1 << 14)
 def shape_paths(shape: str) -> tuple[tuple[str, str], ...]:
-    """(path, type) of all parts of a shape; the path of the whole is '', of an inner key '.key', of an array's elements '[]' ('mixed' where they differ)."""
+    """(path, type) of all parts of a shape; the path of the whole is '', of an inner key '.key', of an array's elements '[]' ('mixed' where they differ); of a shape nested too deep to read, the whole only."""
     out: list[tuple[str, str]] = []
 
     def read(at: int, path: str) -> int:
@@ -92,7 +92,10 @@ def shape_paths(shape: str) -> tuple[tuple[str, str], ...]:
             out.append((path, kind))
         return end
 
-    read(0, "")
+    try:
+        read(0, "")
+    except RecursionError:
+        del out[1:]
     return tuple(dict.fromkeys(out))
 
 

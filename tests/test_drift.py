@@ -84,6 +84,8 @@ def test_a_file_of_lines_without_keys_is_compared(spark):
 def test_paths_of_a_shape():
     assert shape_paths("STRING") == (("", "string"),) and shape_paths("DECIMAL(3,1)") == (("", "float"),)
     assert shape_paths("ARRAY<OBJECT<a: BIGINT, b c: ARRAY<STRING>, d: OBJECT<>>>") == (("", "array"), ("[]", "object"), ("[].a", "integer"), ("[].b c", "array"), ("[].b c[]", "string"), ("[].d", "object"))
+    assert shape_paths("ARRAY<" * 5000 + "VOID" + ">" * 5000) == (("", "array"),)
+    assert shape_paths("OBJECT<``: BIGINT, `q``>r`: OBJECT<`c, d`: BOOLEAN>>") == (("", "object"), (".", "integer"), (".q`>r", "object"), (".q`>r.c, d", "boolean"))
     assert shape_paths("OBJECT<`a:b`: VOID, x: VARIANT>") == (("", "object"), (".x", "mixed"))
 
 
