@@ -129,13 +129,9 @@ def body_word(word: str) -> str | None:
     return None
 
 
-#: Nickname -> the names it may stand for; and the given names that are no slip of another.
-_MEANT = {nick: full.split(" ") for nick, full in NICKNAMES.items()}
-_KNOWN = sorted({*_MEANT, *(name for full in _MEANT.values() for name in full)})
-
-
-def _meant() -> Column:
-    return F.create_map(*[x for nick, full in _MEANT.items() for x in (F.lit(nick), F.split(F.lit(" ".join(full)), " "))])
+def _meant(nicknames: dict[str, str]) -> Column:
+    """Nickname -> the names it may stand for."""
+    return F.create_map(*[x for nick, full in nicknames.items() for x in (F.lit(nick), F.split(F.lit(full), " "))]) if nicknames else F.create_map().cast("map<string,array<string>>")
 
 
 def parse_name(name: str) -> dict:
@@ -230,14 +226,14 @@ def parsed_names(names: DataFrame) -> DataFrame:
     return names.select("name").mapInArrow(run, "name string, " + ", ".join(f"{p} string" for p in _PARTS))
 
 
-def settle_order(parsed: DataFrame) -> DataFrame:
+def settle_order(parsed: DataFrame, nicknames: dict[str, str] = NICKNAMES) -> DataFrame:
     """Surname and given name of those whose order isn't shown, by how their ends occur elsewhere: ``name``, ``kind``, ``key``, ``rest``, ``given``, ``middle``, ``generation``."""
     shown = parsed.filter("kind = 'person' and key is not null and given is not null")
     roles = shown.select(F.inline(F.array(F.struct(F.col("key").alias("word"), F.lit(1).alias("role")), F.struct(F.col("given").alias("word"), F.lit(-1).alias("role")))))
     roles = roles.groupBy("word").agg(F.signum(F.sum("role")).alias("role"))
     unclear = parsed.filter("kind = 'person' and first is not null")
     ends = unclear.select("name", F.inline(F.array(F.struct(F.lit(1).alias("side"), F.col("first").alias("word")), F.struct(F.lit(-1).alias("side"), F.col("last").alias("word")))))
-    role = F.when(F.col("word").isin(list(_MEANT)), -1.0).otherwise(F.coalesce("role", F.lit(0.0)))
+    role = F.when(F.col("word").isin(list(nicknames)), -1.0).otherwise(F.coalesce("role", F.lit(0.0)))
     sides = ends.join(roles, "word", "left").groupBy("name").agg(F.sum(F.col("side") * role).alias("front"))
     front = F.col("front") > 0
     pick = lambda a, b: F.when(front, F.col(a)).otherwise(F.col(b))
@@ -354,12 +350,12 @@ FAR_MORE, FAR_MORE_SHORT, MORE, FEW, SHORT = 20, 200, 2, 2, 4
 #: A surname found with so many initials is one of its own.
 OWN_INITIALS = 3
 
-def _options(given: Column) -> Column:
+def _options(given: Column, nicknames: dict[str, str]) -> Column:
     """The names a given name may stand for: itself, or those of a nickname."""
-    return F.coalesce(F.element_at(_meant(), given), F.array(given))
+    return F.coalesce(F.element_at(_meant(nicknames), given), F.array(given))
 
 
-def vocabulary(parts: DataFrame) -> DataFrame:
+def vocabulary(parts: DataFrame, nicknames: dict[str, str] = NICKNAMES) -> DataFrame:
     """``grp`` (role and, but for words of bodies, first letter; surnames also by the second, and by each initial beside them), ``key``, ``info`` (``n``: names it occurs in, ``initials`` beside a surname) of the words of all names.
 
     Roles are s (surname), g (given name), p (place), b (word of a body; link
@@ -368,7 +364,7 @@ def vocabulary(parts: DataFrame) -> DataFrame:
     word = lambda role, key, initials: F.struct(F.lit(role).alias("role"), key.alias("key"), initials.alias("initials"))
     none = F.array().cast("array<string>")
     given = F.col("given")
-    initials = F.when(given.isNotNull(), F.transform(_options(given), lambda x: F.substring(x, 1, 1))).otherwise(none)
+    initials = F.when(given.isNotNull(), F.transform(_options(given, nicknames), lambda x: F.substring(x, 1, 1))).otherwise(none)
     of_person = F.when(F.length(given) > 1, F.array(word("s", F.col("key"), initials), word("g", given, none))).otherwise(F.array(word("s", F.col("key"), initials)))
     of_body = F.concat(
         F.array(word("p", F.col("key"), none), F.struct(F.concat(F.lit("r/"), F.col("key")).alias("role"), F.col("rest").alias("key"), none.alias("initials"))),
@@ -391,8 +387,9 @@ def _swapped() -> Column:
     return F.levenshtein(letters("a"), letters("b")) <= 2
 
 
-def supported_links(vocab: DataFrame) -> DataFrame:
+def supported_links(vocab: DataFrame, nicknames: dict[str, str] = NICKNAMES) -> DataFrame:
     """``role``, ``key``, ``target``, ``distance``, ``n``: the links that the occurrences of both words support (see the module's text)."""
+    known = sorted({*nicknames, *(name for full in nicknames.values() for name in full.split(" "))})  # no slips of other names
     met = _met_keys(vocab, CLASSES).filter((F.col("distance") < 3) | _swapped())
     up = F.struct(F.col("ia.n"), F.col("a")) < F.struct(F.col("ib.n"), F.col("b"))
     side = lambda first, second: F.when(up, F.col(first)).otherwise(F.col(second))
@@ -410,7 +407,7 @@ def supported_links(vocab: DataFrame) -> DataFrame:
     x, y = F.split("key", " "), F.split("target", " ")
     pairs = F.when(F.size(x) == F.size(y), F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p: p["x"] != p["y"]))
     role = F.col("role")
-    support = F.when(role == "s", surname).when(role == "g", far & ~ended & ~F.col("key").isin(_KNOWN)).when(role == "b", far).otherwise(F.lit(True))
+    support = F.when(role == "s", surname).when(role == "g", far & ~ended & ~F.col("key").isin(known)).when(role == "b", far).otherwise(F.lit(True))
     met = cut(met.withColumn("pairs", F.when(F.startswith(role, F.lit("r/")), pairs)).filter(support).select("role", "key", "target", "distance", "pairs", m.alias("n"), (n != m).alias("more"), (n * MORE <= m).alias("well")))
     whole = F.startswith(role, F.lit("r/"))
     glued = met.filter(whole & F.col("pairs").isNull() & (F.col("distance") <= 2))
@@ -443,18 +440,19 @@ def roots(links: DataFrame) -> DataFrame:
     return up.join(on, ["role", "root"], "left").select("role", "key", F.coalesce("further", "root").alias("root"))
 
 
-def name_entities(names: DataFrame) -> DataFrame:
+def name_entities(names: DataFrame, nicknames: dict[str, str] = NICKNAMES) -> DataFrame:
     """``name``, ``kind``, ``entity`` (a hash) of every distinct name that names somebody.
 
     ``names`` has one column ``name``, repeated as often as it occurs.  Null, the
     empty string, blanks, Anonymous and Unknown name nobody.  A form with
     initials only goes to the person it fits if there is just one; where several
-    fit it stays apart.  An empty table gives no rows.
+    fit it stays apart.  ``nicknames`` has the given names, by a blank, that each
+    nickname may stand for.  An empty table gives no rows.
     """
     held = names.filter(F.col("name").isNotNull() & ~F.trim("name").isin(PLACEHOLDERS)).select("name").distinct()
     width = shuffle_width(names.sparkSession)
-    parts = cut(settle_order(cut(parsed_names(held.repartition(width)))))  # few bytes, but dear to parse: never coalesced
-    links = cut(supported_links(cut(vocabulary(parts).repartition(width))))  # each word becomes many segments
+    parts = cut(settle_order(cut(parsed_names(held.repartition(width))), nicknames))  # few bytes, but dear to parse: never coalesced
+    links = cut(supported_links(cut(vocabulary(parts, nicknames).repartition(width)), nicknames))  # each word becomes many segments
     settled = cut(roots(links.filter("role <> 'g'")))
     of = lambda role: settled.filter(F.col("role") == role)
 
@@ -473,7 +471,7 @@ def name_entities(names: DataFrame) -> DataFrame:
     # what a given name may stand for: the right spellings of a misspelt one, the names of a nickname; of several, the one that occurs with the surname
     forms = spelt.select("grp", "given").distinct()
     near = links.filter("role = 'g'").select(F.col("key").alias("given"), "target", "distance", F.col("n").alias("known"))
-    options = forms.join(near, "given", "left").select("grp", "given", F.posexplode(_options(F.coalesce("target", "given"))).alias("pos", "option"), F.coalesce("distance", F.lit(0)).alias("distance"), F.coalesce("known", F.lit(0)).alias("known"))
+    options = forms.join(near, "given", "left").select("grp", "given", F.posexplode(_options(F.coalesce("target", "given"), nicknames)).alias("pos", "option"), F.coalesce("distance", F.lit(0)).alias("distance"), F.coalesce("known", F.lit(0)).alias("known"))
     present = spelt.groupBy("grp", F.col("given").alias("option")).agg(F.count("*").alias("present"))
     order = F.struct(F.coalesce("present", F.lit(0)).alias("present"), (-F.col("distance")).alias("near"), "known", (-F.col("pos")).alias("pos"), "option")
     chosen = options.join(present, ["grp", "option"], "left").groupBy("grp", "given").agg(F.max(order).alias("c")).select("grp", "given", F.col("c.option").alias("first"))

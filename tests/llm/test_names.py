@@ -117,3 +117,11 @@ def test_slips_in_bodies(spark):
     of = {r["name"]: r["entity"] for r in names.name_entities(spark.createDataFrame([(n,) for n in base + slips + glued], "name string")).collect()}
     assert {of[n] for n in slips} == {of[base[0]]} and {of[n] for n in glued} == {of[base[2]]}
     assert len({of[n] for n in base}) == len(base)
+
+
+def test_nicknames_are_data_of_the_caller(spark):
+    df = spark.createDataFrame([("Okparavo, Chukwuemeka",), ("Okparavo, Emeka",), ("Okparavo, Bob",), ("Okparavo, Robert",)], "name string")
+    of = lambda **kw: {r["name"]: r["entity"] for r in names.name_entities(df, **kw).collect()}
+    own = of(nicknames={"emeka": "chukwuemeka"})
+    assert own["Okparavo, Emeka"] == own["Okparavo, Chukwuemeka"] and own["Okparavo, Bob"] != own["Okparavo, Robert"]
+    assert len(set(of(nicknames={}).values())) == 4 and len(set(of().values())) == 3
