@@ -27,10 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexmill.session import cut
+from lexmill.session import cut, shuffle_width
 
 TYPES = ["array", "boolean", "float", "integer", "object", "string"]
 MISSING = ["", "NA"]
+#: Lines of one file that a task reads; a longer file goes to several.
+BLOCK_LINES = 1 << 16
 #: What tells one whole line from another.
 LINE = ["feed", "file_no", "line_no", "__line"]
 
@@ -105,7 +107,10 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     Shape and value (text) are null for null, '' and 'NA'.  Rows equal in feed,
     numbers and text count once; line numbers may be null or repeated.
     """
-    once = lines.select("feed", "file_no", "line_no", "line").filter(F.col("feed").isNotNull() & F.col("file_no").isNotNull()).distinct()
+    held = lines.select("feed", "file_no", "line_no", "line").filter(F.col("feed").isNotNull() & F.col("file_no").isNotNull())
+    # equal lines meet, and those of one file, a stretch at a time, so that little is left to add up by file
+    block = F.coalesce(F.floor(F.col("line_no") / BLOCK_LINES), F.pmod(F.xxhash64("line"), F.lit(64)))
+    once = held.withColumn("__block", block).repartition(shuffle_width(lines.sparkSession), "feed", "file_no", "__block").distinct()
     v = once.select("feed", "file_no", "line_no", F.xxhash64("line").alias("__line"), F.expr("try_parse_json(line)").alias("v"))
     whole = v.filter(F.col("v").isNotNull()).withColumn("v", F.when(F.expr("schema_of_variant(v)").startswith("OBJECT"), F.col("v"))).filter(F.col("v").isNotNull())
 
