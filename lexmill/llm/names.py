@@ -257,6 +257,8 @@ def _met_keys(keys: DataFrame, classes: list[tuple[int, int]]) -> DataFrame:
 
     ``keys`` has distinct (grp, key) and ``info``, which comes out on both sides.
     ``classes`` has (least length, edits), lengths rising; shorter keys meet nothing.
+    Both sides are shuffled: Spark's estimates don't see that a key becomes many
+    segments, so a side far above the limit of a broadcast would be sent through the driver.
     """
     most = max(k for _, k in classes)
     least = min(n for n, _ in classes)
@@ -281,7 +283,7 @@ def _met_keys(keys: DataFrame, classes: list[tuple[int, int]]) -> DataFrame:
     looked = looked.withColumns({"low": low, "high": high}).filter("low <= high")
     shifted = F.array_distinct(F.transform(F.sequence(F.col("low"), F.col("high")), lambda p: F.substring(F.col("a"), p, F.col("s.size"))))
     looked = looked.select("grp", "a", "ia", "size_b", F.col("s.i").alias("i"), F.explode(shifted).alias("seg"))
-    met = looked.join(index, ["grp", "size_b", "i", "seg"]).filter((F.length("a") > F.length("b")) | (F.col("a") > F.col("b")))
+    met = looked.join(index.hint("merge"), ["grp", "size_b", "i", "seg"]).filter((F.length("a") > F.length("b")) | (F.col("a") > F.col("b")))
     near = F.levenshtein("a", "b", most)
     return met.select("grp", "a", "b", "ia", "ib", near.alias("distance")).filter((F.col("distance") >= 0) & (F.col("distance") <= edits(F.length("b"))))
 
@@ -307,7 +309,7 @@ def _short_meetings(keys: DataFrame, edits: int) -> DataFrame:
         left = left.unionByName(step)
     left = left.distinct()
     short = left.filter(F.length("key") <= edits).withColumnRenamed("key", "b")
-    met = left.withColumnRenamed("key", "a").join(short, ["grp", "left"])
+    met = left.withColumnRenamed("key", "a").join(short.hint("merge"), ["grp", "left"])  # as in _met_keys
     return met.filter((F.length("a") > F.length("b")) | (F.length("a") == F.length("b")) & (F.col("a") > F.col("b"))).select("grp", "a", "b").distinct()
 
 

@@ -39,6 +39,15 @@ def test_close_keys_finds_short_keys(spark, edits):
     assert {((r["a"], r["b"]), r["distance"]) for r in found} == want and len(found) == len(want)
 
 
+@pytest.mark.parametrize("join", [names.segment_join, names.close_keys])
+def test_segments_are_never_broadcast(spark, join):
+    """A few bytes of keys, which Spark would broadcast by its estimate, become many segments."""
+    met = join(spark.createDataFrame([("g", "marutani"), ("g", "marutnai"), ("g", "zoe")], "grp string, key string"), 2)
+    assert {(r["a"], r["b"]) for r in met.collect()} == {("marutnai", "marutani")}
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_spellings_lead_to_the_most_frequent(spark):
     df = spark.createDataFrame([("g", "marutani", 9), ("g", "marutnai", 1), ("g", "marutnaii", 1), ("g", "other", 5)], "grp string, key string, n long")
     got = {r["key"]: r["root"] for r in names.settle_spellings(df, 2, F.lit(True)).collect()}
